@@ -4,13 +4,39 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import decontam, lang_id, packing, pii, secret_scan, token_files
 from .common import documents
 from .simhash import near_duplicates
+from .word_encoder import default_path
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir), shingle=4, distance=4)
 
 
-QUERIES = {"op1_simhash": op1_simhash}
+def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.digest(secret_scan.secrets(documents(spark, sf_dir)))
+
+
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(pii.personal_data(documents(spark, sf_dir)))
+
+
+def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.token_files(documents(spark, sf_dir), default_path(), end=2)
+
+
+def op6_lang_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lang_id.identify(documents(spark, sf_dir))
+
+
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.report(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), n=10)
+
+
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(documents(spark, sf_dir), default_path(), capacity=2048, end=0)
+
+
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_secrets, op4_pii, op5_token_files, op6_lang_id, op8_decontamination, op9_packing)}
 ORACLE_SQL: dict[str, str] = {}
