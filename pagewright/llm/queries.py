@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, lang_id, packing, pii, secret_scan, token_files
+from . import ann, decontam, lang_id, packing, pii, secret_scan, token_files
 from .common import documents
 from .simhash import near_duplicates
 from .word_encoder import default_path
@@ -18,6 +18,10 @@ def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digest(secret_scan.secrets(documents(spark, sf_dir)))
 
 
+def op3_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), k=10, every=100)
+
+
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.personal_data(documents(spark, sf_dir)))
 
@@ -38,5 +42,5 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), default_path(), capacity=2048, end=0)
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_secrets, op4_pii, op5_token_files, op6_lang_id, op8_decontamination, op9_packing)}
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_secrets, op3_ann, op4_pii, op5_token_files, op6_lang_id, op8_decontamination, op9_packing)}
 ORACLE_SQL: dict[str, str] = {}
