@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, decontam, lang_id, packing, pii, secret_scan, token_files
+from . import ann, decontam, lang_id, packing, pii, secret_scan, substring_dedup, token_files
 from .common import documents
 from .simhash import near_duplicates
 from .word_encoder import default_path
@@ -42,5 +42,9 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), default_path(), capacity=2048, end=0)
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_secrets, op3_ann, op4_pii, op5_token_files, op6_lang_id, op8_decontamination, op9_packing)}
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.remove_repeats(documents(spark, sf_dir), length=400)
+
+
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_secrets, op3_ann, op4_pii, op5_token_files, op6_lang_id, op8_decontamination, op9_packing, op10_substring_dedup)}
 ORACLE_SQL: dict[str, str] = {}
