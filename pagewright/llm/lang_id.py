@@ -138,7 +138,7 @@ def train(rows: list[tuple[str, str]]) -> ByteNetwork | None:
 
 def predict(df: DataFrame, network: ByteNetwork | None, *keep: str) -> DataFrame:
     """The columns `keep`, lang_pred and score (0 to 1); `und` and 0 where the text is null or has no letter, or nothing was learned."""
-    src = df.select(F.when(F.col("text").rlike(r"\p{L}"), F.col("text")).alias("text"), *keep)
+    src = df.select(F.when(F.col("text").rlike(r"\p{L}"), F.col("text")).alias("_scanned"), *keep)
     kinds = ", ".join(f"`{c}` {src.schema[c].dataType.simpleString()}" for c in keep)
     if network is None:
         return src.select(*keep, F.lit(UNDETERMINED).alias("lang_pred"), F.lit(0.0).alias("score"))

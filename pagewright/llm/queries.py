@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, decontam, lang_id, packing, pii, secret_scan, substring_dedup, token_files
+import corpus_pipeline
+
+from . import ann, decontam, lang_id, line_dedup, packing, pii, secret_scan, substring_dedup, token_files
 from .common import documents
 from .simhash import near_duplicates
 from .word_encoder import default_path
@@ -34,6 +36,10 @@ def op6_lang_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lang_id.identify(documents(spark, sf_dir))
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.digest(line_dedup.dedup_lines(documents(spark, sf_dir)))
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.report(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), n=10)
 
@@ -46,5 +52,6 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.remove_repeats(documents(spark, sf_dir), length=400)
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_secrets, op3_ann, op4_pii, op5_token_files, op6_lang_id, op8_decontamination, op9_packing, op10_substring_dedup)}
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_secrets, op3_ann, op4_pii, op5_token_files, op6_lang_id, op7_line_dedup, op8_decontamination, op9_packing, op10_substring_dedup)}
+QUERIES["pipeline"] = corpus_pipeline.run
 ORACLE_SQL: dict[str, str] = {}
