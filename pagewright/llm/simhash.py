@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from itertools import combinations
 
 import numpy as np
@@ -25,13 +26,30 @@ def _bits(h: np.ndarray, cut: np.ndarray) -> np.ndarray:
     """How many of the hashes of each run set each of the 64 bits."""
     out = np.zeros((len(cut) - 1, 64), np.int64)
     for k, (a, b) in enumerate(zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)):
-        for at in range(a, b, 1 << 16):
-            out[k] += np.unpackbits(h[at : min(b, at + (1 << 16))].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+        for at in range(a, b, 255):  # so many that a byte holds their sum
+            out[k] += np.add.reduce(np.unpackbits(h[at : min(b, at + 255)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"), 0, np.uint8)
     return out
 
 
-def fingerprints(data: np.ndarray, offsets: np.ndarray, shingle: int) -> np.ndarray:
-    """Fingerprints of the texts data[offsets[i]:offsets[i + 1]] (UTF-8)."""
+def _mix(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
+
+
+def identity(fps: np.ndarray) -> np.ndarray:
+    """One word for each row of fingerprint words: the word itself if there is one."""
+    out = fps[:, 0]
+    for k in range(1, fps.shape[1]):
+        out = _mix(out) ^ fps[:, k]
+    return out
+
+
+def fingerprints(data: np.ndarray, offsets: np.ndarray, shingle: int, words: int = 1) -> np.ndarray:
+    """Fingerprints of the texts data[offsets[i]:offsets[i + 1]] (UTF-8), a row of `words` 64-bit words each.
+
+    The first word comes from the shingles' XXH64, the others from that hash mixed again.
+    """
     docs = len(offsets) - 1
     gap = _SPACE[data]
     first = ~gap
@@ -44,107 +62,139 @@ def fingerprints(data: np.ndarray, offsets: np.ndarray, shingle: int) -> np.ndar
     last[tail] = ~gap[tail]
     s, e = np.flatnonzero(first), np.flatnonzero(last) + 1
     if not len(s):
-        return np.zeros(docs, np.uint64)
+        return np.zeros((docs, words), np.uint64)
     length = e - s
     to = np.concatenate([[0], np.cumsum(length + 1)])  # each word and a space, one after another
     joined = np.full(to[-1], 32, np.uint8)
     keep = ~gap
     where = np.arange(len(data), dtype=np.int64)[keep]
     joined[where + np.repeat(to[:-1] - s, length)] = _LOWER[data[keep]]
-    words = np.searchsorted(s, offsets)  # the words before each text
-    count = np.diff(words)
+    before = np.searchsorted(s, offsets)  # the words before each text
+    count = np.diff(before)
     many = np.maximum(count - shingle + 1, np.minimum(count, 1))
     cut = np.concatenate([[0], np.cumsum(many)])
-    i = np.repeat(words[:-1] - cut[:-1], many) + np.arange(cut[-1])
-    j = np.minimum(i + shingle, np.repeat(words[1:], many)) - 1
+    i = np.repeat(before[:-1] - cut[:-1], many) + np.arange(cut[-1])
+    j = np.minimum(i + shingle, np.repeat(before[1:], many)) - 1
     h = xxh64(joined, to[i], to[j] + length[j] - to[i], SEED)
-    return np.packbits(_bits(h, cut) * 2 > many[:, None], axis=1, bitorder="little").view(np.uint64).ravel()
+    out = np.zeros((docs, words), np.uint64)
+    for k in range(words):
+        x = h if k == 0 else _mix(h + np.uint64(k * 0x9E3779B97F4A7C15 % (1 << 64)))
+        out[:, k] = np.packbits(_bits(x, cut) * 2 > many[:, None], axis=1, bitorder="little").view(np.uint64).ravel()
+    return out
 
 
-def with_fingerprints(df: DataFrame, shingle: int, *keep: str) -> DataFrame:
-    """The columns `keep` and fp, a long with the 64 bits; of the column text. Null and wordless texts get 0."""
-    src = df.select(F.col("text"), *keep)
+def with_fingerprints(df: DataFrame, shingle: int, words: int, *keep: str) -> DataFrame:
+    """The columns `keep`, id (the fingerprint's identity) and its words f0, f1, ...; of the column text. Null and wordless texts get zeros."""
+    src = df.select(F.col("text").alias("_scanned"), *keep)
+    names = [f"f{k}" for k in range(words)]
 
     def run(batches):
         for b in batches:
-            fps = [fingerprints(d, o, shingle) for _, _, d, o in slices(b, 0, 1 << 20)]
+            fps = [fingerprints(d, o, shingle, words) for _, _, d, o in slices(b, 0, 1 << 20)]
             if fps:
-                yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(np.concatenate(fps).view(np.int64))], [*keep, "fp"])
+                fps = np.concatenate(fps)
+                yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(identity(fps).view(np.int64)), *(pa.array(np.ascontiguousarray(fps[:, k]).view(np.int64)) for k in range(words))], [*keep, "id", *names])
 
     kinds = ", ".join(f"`{c}` {src.schema[c].dataType.simpleString()}" for c in keep)
-    return src.mapInArrow(run, f"{kinds}, fp long")
+    return src.mapInArrow(run, f"{kinds}, id long, " + ", ".join(f"{x} long" for x in names))
 
 
-def _keys(distance: int) -> list:
+def pigeonhole_keys(distance: int) -> list:
     """With distance + 2 blocks, two fingerprints that differ in `distance` bits at most agree on two blocks: a key for each two."""
     n = distance + 2
     edges = [64 * k // n for k in range(n + 1)]
-    part = [F.shiftrightunsigned("fp", a).bitwiseAND(F.lit((1 << (b - a)) - 1)) for a, b in zip(edges[:-1], edges[1:], strict=True)]
+    part = [F.shiftrightunsigned("f0", a).bitwiseAND(F.lit((1 << (b - a)) - 1)) for a, b in zip(edges[:-1], edges[1:], strict=True)]
     wide = max(b - a for a, b in zip(edges[:-1], edges[1:], strict=True))
     return [F.shiftleft(F.lit(k).cast("long"), 2 * wide).bitwiseOR(F.shiftleft(part[x], wide)).bitwiseOR(part[y]) for k, (x, y) in enumerate(combinations(range(n), 2))]
 
 
+def sampled_keys(words: int, tables: int, bits: int) -> list:
+    """A key for each table: `bits` places of the fingerprint, drawn once for all."""
+    rng = np.random.default_rng(SEED)
+    out = []
+    for t in range(tables):
+        key = F.lit(t << 32)
+        for at, place in enumerate(sorted(rng.choice(64 * words, bits, replace=False).tolist())):
+            bit = F.shiftrightunsigned(f"f{place // 64}", place % 64).bitwiseAND(F.lit(1).cast("long"))
+            key = key.bitwiseOR(F.shiftleft(bit, at))
+        out.append(key)
+    return out
+
+
 def _forest(fps: np.ndarray, distance: int):
     """Edges that join what is linked within one bucket: a search that leaves each fingerprint once."""
-    rest = fps
+    rest = np.arange(len(fps))
     while len(rest) > 1:
         frontier, rest = [rest[0]], rest[1:]
         while frontier and len(rest):
             x = frontier.pop()
-            near = np.bitwise_count(rest ^ x) <= distance
+            near = np.bitwise_count(fps[rest] ^ fps[x]).sum(1, dtype=np.int64) <= distance
             if near.any():
                 found = rest[near]
                 yield np.full(len(found), x), found
-                frontier += list(found)
+                frontier += found.tolist()
                 rest = rest[~near]
 
 
-def _links(distance: int):
+def _links(distance: int, words: int):
     def run(batches):
         for t, cut in grouped(batches, ["key", "i", "j"], 2 * CHUNK):
-            fps = t["fp"].combine_chunks().to_numpy().view(np.uint64)
+            fps = np.stack([t[f"f{k}"].combine_chunks().to_numpy().view(np.uint64) for k in range(words)], 1)
             sizes = np.diff(cut)
             group = np.repeat(np.arange(len(sizes)), sizes)
-            small = np.repeat(sizes <= 24, sizes)
-            f, g = fps[small], group[small]
+            small = np.flatnonzero(np.repeat(sizes <= 24, sizes))
+            g = group[small]
             a, b = [], []
             for lag in range(1, 24):
-                if lag >= len(f):
-                    break
-                same = np.flatnonzero(g[lag:] == g[:-lag])
+                same = np.flatnonzero(g[lag:] == g[:-lag]) if lag < len(g) else []
                 if not len(same):
                     break
-                near = same[np.bitwise_count(f[same] ^ f[same + lag]) <= distance]
-                a.append(f[near])
-                b.append(f[near + lag])
+                x, y = small[same], small[same + lag]
+                near = np.bitwise_count(fps[x] ^ fps[y]).sum(1, dtype=np.int64) <= distance
+                a.append(x[near])
+                b.append(y[near])
             for k in np.flatnonzero(sizes > 24):
                 for x, y in _forest(fps[cut[k] : cut[k + 1]], distance):
-                    a.append(x)
-                    b.append(y)
+                    a.append(x + cut[k])
+                    b.append(y + cut[k])
             if a:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a).view(np.int64)), pa.array(np.concatenate(b).view(np.int64))], ["a", "b"])
+                ids = identity(fps).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[np.concatenate(a)]), pa.array(ids[np.concatenate(b)])], ["a", "b"])
 
     return run
 
 
-def hamming_links(fps: DataFrame, distance: int) -> DataFrame:
-    """(a, b) pairs of the distinct values of fp that span the same components as all pairs within `distance`.
+def hamming_links(fps: DataFrame, words: int, distance: int, keys: list) -> DataFrame:
+    """(a, b) identities of distinct fingerprints that span the same components as all pairs within `distance` that share a key.
 
     A bucket of over CHUNK fingerprints is cut into chunks by hash, and each two chunks are compared in a task
     of their own, so that no task holds more than two chunks whatever the size of the bucket.
     """
-    rows = fps.select("fp", F.explode(F.array(*_keys(distance))).alias("key"))
+    names = [f"f{k}" for k in range(words)]
+    rows = fps.select(*names, F.explode(F.array(*keys)).alias("key"))
     hot = checkpoint(rows.groupBy("key").count().where(F.col("count") > CHUNK).select("key", F.ceil(F.col("count") / CHUNK).cast("int").alias("n")))
     n = hot.count()
     if n:
         rows = rows.join(sized(hot, n), "key", "left").withColumn("n", F.coalesce("n", F.lit(1)))
-        rows = rows.withColumn("c", F.pmod(F.xxhash64("fp"), F.col("n").cast("long")).cast("int"))
-        rows = rows.select("fp", "key", "c", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("o"))
-        rows = rows.select("fp", "key", F.least("c", "o").alias("i"), F.greatest("c", "o").alias("j"))
+        rows = rows.withColumn("c", F.pmod(F.xxhash64(*names), F.col("n").cast("long")).cast("int"))
+        rows = rows.select(*names, "key", "c", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("o"))
+        rows = rows.select(*names, "key", F.least("c", "o").alias("i"), F.greatest("c", "o").alias("j"))
     else:
-        rows = rows.select("fp", "key", F.lit(0).alias("i"), F.lit(0).alias("j"))
-    rows = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "fp")
-    return rows.mapInArrow(_links(distance), "a long, b long")
+        rows = rows.select(*names, "key", F.lit(0).alias("i"), F.lit(0).alias("j"))
+    rows = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    return rows.mapInArrow(_links(distance, words), "a long, b long")
+
+
+def _classes(df: DataFrame, shingle: int, words: int, distance: int, keys: list) -> DataFrame:
+    """doc_id, f0 and component_id of every row."""
+    base = checkpoint(with_fingerprints(df, shingle, words, "doc_id"))
+    names = [f"f{k}" for k in range(words)]
+    least = checkpoint(base.groupBy("id", *names).agg(F.min("doc_id").alias("least")))
+    roots = components(hamming_links(least, words, distance, keys))
+    linked = least.join(roots, least["id"] == roots["node"], "left").select("id", "least", F.coalesce("root", "id").alias("root"))
+    smallest = linked.groupBy("root").agg(F.min("least").alias("component_id"))
+    found = linked.select("id", "root").join(smallest, "root").select("id", "component_id")
+    return base.join(found, "id").select("doc_id", "f0", "component_id")
 
 
 def near_duplicates(df: DataFrame, shingle: int = 5, distance: int = 4, id_column: str = "doc_id") -> DataFrame:
@@ -154,11 +204,19 @@ def near_duplicates(df: DataFrame, shingle: int = 5, distance: int = 4, id_colum
     text has fingerprint zero and links like any other; repeated rows each come back; a null id stays null and is
     never a component's id unless it has no other. An empty table gives an empty result. Other columns are not read.
     """
-    base = checkpoint(with_fingerprints(df.select(F.col(id_column).alias("doc_id"), "text"), shingle, "doc_id"))
-    least = checkpoint(base.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    roots = components(hamming_links(least.select("fp"), distance))
-    linked = least.join(roots, least["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    smallest = linked.groupBy("root").agg(F.min("least").alias("component_id"))
-    found = linked.select("fp", "root").join(smallest, "root").select("fp", "component_id")
-    out = base.join(found, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-    return out.withColumnRenamed("doc_id", id_column)
+    out = _classes(df.select(F.col(id_column).alias("doc_id"), "text"), shingle, 1, distance, pigeonhole_keys(distance))
+    return out.select(F.col("doc_id").alias(id_column), F.lower(F.lpad(F.hex("f0"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def similar(df: DataFrame, shingle: int = 5, similarity: float = 0.8, words: int = 4, tables: int = 64, bits: int = 20) -> DataFrame:
+    """doc_id and component_id over links of that similarity (Jaccard, of shingles) or more, as wide fingerprints tell it.
+
+    At 0.8 about 15 % of a fingerprint's bits differ, for which pigeonhole blocks of 64 bits would be too narrow
+    to tell anything apart. So the fingerprint has 64 x `words` bits, the blocks are `tables` samples of `bits` of
+    its places, of which such a pair shares one with probability 0.95 and closer pairs nearly surely, and the
+    distance is verified against the expected one plus its standard deviation. Rows are treated as in near_duplicates.
+    """
+    cosine = 2 * similarity / (1 + similarity)
+    flip, n = math.acos(cosine) / math.pi, 64 * words
+    distance = int(n * flip + math.sqrt(n * flip * (1 - flip)))
+    return _classes(df.select("doc_id", "text"), shingle, words, distance, sampled_keys(words, tables, bits)).select("doc_id", "component_id")
