@@ -99,26 +99,32 @@ def with_fingerprints(df: DataFrame, shingle: int, words: int, *keep: str) -> Da
     return src.mapInArrow(run, f"{kinds}, id long, " + ", ".join(f"{x} long" for x in names))
 
 
-def pigeonhole_keys(distance: int) -> list:
-    """With distance + 2 blocks, two fingerprints that differ in `distance` bits at most agree on two blocks: a key for each two."""
+def pigeonhole_keys(fps: DataFrame, distance: int) -> DataFrame:
+    """(key, f0): with distance + 2 blocks, two fingerprints that differ in `distance` bits at most agree on two; a key for each two."""
     n = distance + 2
     edges = [64 * k // n for k in range(n + 1)]
     part = [F.shiftrightunsigned("f0", a).bitwiseAND(F.lit((1 << (b - a)) - 1)) for a, b in zip(edges[:-1], edges[1:], strict=True)]
     wide = max(b - a for a, b in zip(edges[:-1], edges[1:], strict=True))
-    return [F.shiftleft(F.lit(k).cast("long"), 2 * wide).bitwiseOR(F.shiftleft(part[x], wide)).bitwiseOR(part[y]) for k, (x, y) in enumerate(combinations(range(n), 2))]
+    keys = [F.shiftleft(F.lit(k).cast("long"), 2 * wide).bitwiseOR(F.shiftleft(part[x], wide)).bitwiseOR(part[y]) for k, (x, y) in enumerate(combinations(range(n), 2))]
+    return fps.select(F.explode(F.array(*keys)).alias("key"), "f0")
 
 
-def sampled_keys(words: int, tables: int, bits: int) -> list:
-    """A key for each table: `bits` places of the fingerprint, drawn once for all."""
+def sampled_keys(fps: DataFrame, words: int, tables: int, bits: int) -> DataFrame:
+    """(key, f0, f1, ...): a key for each table, `bits` places of the fingerprint that are drawn once for all."""
     rng = np.random.default_rng(SEED)
-    out = []
-    for t in range(tables):
-        key = F.lit(t << 32)
-        for at, place in enumerate(sorted(rng.choice(64 * words, bits, replace=False).tolist())):
-            bit = F.shiftrightunsigned(f"f{place // 64}", place % 64).bitwiseAND(F.lit(1).cast("long"))
-            key = key.bitwiseOR(F.shiftleft(bit, at))
-        out.append(key)
-    return out
+    places = np.stack([rng.choice(64 * words, bits, replace=False) for _ in range(tables)])
+    names = [f"f{k}" for k in range(words)]
+
+    def run(batches):
+        for b in batches:
+            for at in range(0, b.num_rows, 4096):
+                part = b.slice(at, 4096)
+                fps = np.ascontiguousarray(np.stack([part.column(x).to_numpy() for x in names], 1))
+                flat = np.unpackbits(fps.view(np.uint8), axis=1, bitorder="little").astype(np.int64)
+                for t, own in enumerate(places):
+                    yield pa.RecordBatch.from_arrays([pa.array(flat[:, own] @ (1 << np.arange(bits)) + (t << 32)), *part.columns], ["key", *names])
+
+    return fps.select(*names).mapInArrow(run, "key long, " + ", ".join(f"{x} long" for x in names))
 
 
 def _forest(fps: np.ndarray, distance: int):
@@ -164,14 +170,13 @@ def _links(distance: int, words: int):
     return run
 
 
-def hamming_links(fps: DataFrame, words: int, distance: int, keys: list) -> DataFrame:
-    """(a, b) identities of distinct fingerprints that span the same components as all pairs within `distance` that share a key.
+def hamming_links(rows: DataFrame, words: int, distance: int) -> DataFrame:
+    """(a, b) identities of fingerprints that span the same components as all pairs within `distance` that share a key.
 
     A bucket of over CHUNK fingerprints is cut into chunks by hash, and each two chunks are compared in a task
     of their own, so that no task holds more than two chunks whatever the size of the bucket.
     """
     names = [f"f{k}" for k in range(words)]
-    rows = fps.select(*names, F.explode(F.array(*keys)).alias("key"))
     hot = checkpoint(rows.groupBy("key").count().where(F.col("count") > CHUNK).select("key", F.ceil(F.col("count") / CHUNK).cast("int").alias("n")))
     n = hot.count()
     if n:
@@ -185,12 +190,12 @@ def hamming_links(fps: DataFrame, words: int, distance: int, keys: list) -> Data
     return rows.mapInArrow(_links(distance, words), "a long, b long")
 
 
-def _classes(df: DataFrame, shingle: int, words: int, distance: int, keys: list) -> DataFrame:
+def _classes(df: DataFrame, shingle: int, words: int, distance: int, keys) -> DataFrame:
     """doc_id, f0 and component_id of every row."""
     base = checkpoint(with_fingerprints(df, shingle, words, "doc_id"))
     names = [f"f{k}" for k in range(words)]
     least = checkpoint(base.groupBy("id", *names).agg(F.min("doc_id").alias("least")))
-    roots = components(hamming_links(least, words, distance, keys))
+    roots = components(hamming_links(keys(least), words, distance))
     linked = least.join(roots, least["id"] == roots["node"], "left").select("id", "least", F.coalesce("root", "id").alias("root"))
     smallest = linked.groupBy("root").agg(F.min("least").alias("component_id"))
     found = linked.select("id", "root").join(smallest, "root").select("id", "component_id")
@@ -204,7 +209,7 @@ def near_duplicates(df: DataFrame, shingle: int = 5, distance: int = 4, id_colum
     text has fingerprint zero and links like any other; repeated rows each come back; a null id stays null and is
     never a component's id unless it has no other. An empty table gives an empty result. Other columns are not read.
     """
-    out = _classes(df.select(F.col(id_column).alias("doc_id"), "text"), shingle, 1, distance, pigeonhole_keys(distance))
+    out = _classes(df.select(F.col(id_column).alias("doc_id"), "text"), shingle, 1, distance, lambda fps: pigeonhole_keys(fps, distance))
     return out.select(F.col("doc_id").alias(id_column), F.lower(F.lpad(F.hex("f0"), 16, "0")).alias("fingerprint"), "component_id")
 
 
@@ -219,4 +224,4 @@ def similar(df: DataFrame, shingle: int = 5, similarity: float = 0.8, words: int
     cosine = 2 * similarity / (1 + similarity)
     flip, n = math.acos(cosine) / math.pi, 64 * words
     distance = int(n * flip + math.sqrt(n * flip * (1 - flip)))
-    return _classes(df.select("doc_id", "text"), shingle, words, distance, sampled_keys(words, tables, bits)).select("doc_id", "component_id")
+    return _classes(df.select("doc_id", "text"), shingle, words, distance, lambda fps: sampled_keys(fps, words, tables, bits)).select("doc_id", "component_id")
