@@ -79,15 +79,15 @@ def remove(df: DataFrame, benchmark: DataFrame, n: int = 10, whole: bool = True)
 
     All columns stay as they are. A null text is kept.
     """
-    found = checkpoint(hits(df, benchmark, n).where(F.size("spans") > 0).select(F.col("doc_id").alias("_id"), F.col("h").alias("_h"), "spans"))
+    found = checkpoint(hits(df, benchmark, n).where(F.size("spans") > 0).select(F.col("doc_id").alias("pw__id"), F.col("h").alias("pw__h"), F.col("spans").alias("pw__spans")))
     many = found.count()
-    here = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_h"))
+    here = F.col("doc_id").cast("long").eqNullSafe(F.col("pw__id")) & (F.xxhash64("text") == F.col("pw__h"))
     if whole:
-        return df.join(sized(found.drop("spans"), many), here, "left_anti")
+        return df.join(sized(found.drop("pw__spans"), many), here, "left_anti")
     # The words and what lies between them alternate; a hit word and what follows it go.
-    hit = F.array_distinct(F.flatten(F.transform("spans", lambda s: F.sequence(s["first"], s["first"] + s["n"] - 1))))
+    hit = F.array_distinct(F.flatten(F.transform("pw__spans", lambda s: F.sequence(s["first"], s["first"] + s["n"] - 1))))
     joined = df.join(sized(found, many), here, "left")
-    pieces = joined.withColumn("_hit", hit).withColumn("_w", F.regexp_extract_all("text", F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+" + r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*"), F.lit(0)))
-    kept = F.array_join(F.filter("_w", lambda x, i: ~F.array_contains("_hit", i + 1)), "")
+    pieces = joined.withColumn("pw__hit", hit).withColumn("pw__w", F.regexp_extract_all("text", F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+" + r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*"), F.lit(0)))
+    kept = F.array_join(F.filter("pw__w", lambda x, i: ~F.array_contains("pw__hit", i + 1)), "")
     lead = F.regexp_extract("text", "^" + _CUT, 0)
-    return pieces.withColumn("text", F.when(F.col("_hit").isNull(), F.col("text")).otherwise(F.concat(lead, kept))).select(*df.columns)
+    return pieces.withColumn("text", F.when(F.col("pw__hit").isNull(), F.col("text")).otherwise(F.concat(lead, kept))).select(*df.columns)

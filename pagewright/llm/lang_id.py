@@ -136,18 +136,18 @@ def train(rows: list[tuple[str, str]]) -> ByteNetwork | None:
     return ByteNetwork(languages).fit(x[full], y[full])
 
 
-def predict(df: DataFrame, network: ByteNetwork | None, *keep: str) -> DataFrame:
-    """The columns `keep`, lang_pred and score (0 to 1); `und` and 0 where the text is null or has no letter, or nothing was learned."""
-    src = df.select(F.when(F.col("text").rlike(r"\p{L}"), F.col("text")).alias("_scanned"), *keep)
+def predict(df: DataFrame, network: ByteNetwork | None, *keep: str, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """The columns `keep`, the language and its score (0 to 1) under `names`; `und` and 0 where the text is null or has no letter, or nothing was learned."""
+    src = df.select(F.when(F.col("text").rlike(r"\p{L}"), F.col("text")).alias("pw__scanned"), *keep)
     kinds = ", ".join(f"`{c}` {src.schema[c].dataType.simpleString()}" for c in keep)
     if network is None:
-        return src.select(*keep, F.lit(UNDETERMINED).alias("lang_pred"), F.lit(0.0).alias("score"))
+        return src.select(*keep, F.lit(UNDETERMINED).alias(names[0]), F.lit(0.0).alias(names[1]))
     held = df.sparkSession.sparkContext.broadcast(network)
 
     def run(batches):
         net = held.value
         tables = net.compiled()
-        names = np.array([*net.languages, UNDETERMINED], object)
+        said = np.array([*net.languages, UNDETERMINED], object)
         for b in batches:
             for at, n, data, offsets in slices(b, 0, 1 << 20):
                 x, owner, used = _windows(data, offsets)
@@ -155,9 +155,9 @@ def predict(df: DataFrame, network: ByteNetwork | None, *keep: str) -> DataFrame
                 total = np.stack([np.bincount(owner, p[:, k], n) for k in range(p.shape[1])], 1) / np.maximum(np.diff(offsets), 1)[:, None]
                 best = np.where(np.diff(offsets) > 0, total.argmax(1), len(net.languages))
                 score = np.clip(total.max(1), 0, 1)
-                yield pa.RecordBatch.from_arrays([*(c.slice(at, n) for c in b.columns[1:]), pa.array(names[best].tolist(), pa.string()), pa.array(score)], [*keep, "lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays([*(c.slice(at, n) for c in b.columns[1:]), pa.array(said[best].tolist(), pa.string()), pa.array(score)], [*keep, *names])
 
-    return src.mapInArrow(run, f"{kinds}, lang_pred string, score double")
+    return src.mapInArrow(run, f"{kinds}, {names[0]} string, {names[1]} double")
 
 
 def identify(df: DataFrame) -> DataFrame:

@@ -162,11 +162,11 @@ def classes(df: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
 
 def _removed(df: DataFrame, threshold: int) -> DataFrame:
     """(_id, _h, hits): the lines of each document that are in a class: place, class and the document that keeps it."""
-    base = df.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("_h"), "text")
+    base = df.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("pw__h"), "text")
     found = classes(base, threshold)
-    hits = _lines(base, "doc_id", "_h").drop("line").join(sized(found, found.count()), "lid")
-    hits = hits.groupBy("doc_id", "_h").agg(F.collect_set(F.struct("pos", "class", "keep")).alias("hits"))
-    return checkpoint(hits.select(F.col("doc_id").alias("_id"), "_h", "hits"))
+    hits = _lines(base, "doc_id", "pw__h").drop("line").join(sized(found, found.count()), "lid")
+    hits = hits.groupBy("doc_id", "pw__h").agg(F.collect_set(F.struct("pos", "class", "keep")).alias("hits"))
+    return checkpoint(hits.select(F.col("doc_id").alias("pw__id"), "pw__h", "hits"))
 
 
 def _kept(text: str | None, doc, hits) -> tuple[str, int, int] | None:
@@ -192,8 +192,8 @@ def dedup_lines(df: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     a null id lose what a document with an id has; an empty table gives an empty result. Other columns are not read.
     """
     hits = _removed(df, threshold)
-    docs = df.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("_h"))
-    here = F.col("doc_id").eqNullSafe(F.col("_id")) & (docs["_h"] == hits["_h"])
+    docs = df.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("pw__h"))
+    here = F.col("doc_id").eqNullSafe(F.col("pw__id")) & (docs["pw__h"] == hits["pw__h"])
     joined = docs.join(sized(hits, hits.count()), here, "left").select("doc_id", "text", "hits")
 
     def run(batches):
@@ -211,22 +211,22 @@ def filter_lines(df: DataFrame, threshold: int = THRESHOLD, least: float = 0.2)
 
     All other columns stay as they are, n_chars, if there, as the new length. Null texts stay.
     """
-    hits = _removed(df, threshold)
-    docs = df.withColumn("_h2", F.xxhash64("text"))
-    here = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (docs["_h2"] == hits["_h"])
+    hits = _removed(df, threshold).withColumnRenamed("hits", "pw__hits")
+    docs = df.withColumn("pw__h2", F.xxhash64("text"))
+    here = F.col("doc_id").cast("long").eqNullSafe(F.col("pw__id")) & (docs["pw__h2"] == hits["pw__h"])
     joined = docs.join(sized(hits, hits.count()), here, "left")
-    ordered = F.array_sort("hits")  # by place, which comes first in the struct
+    ordered = F.array_sort("pw__hits")  # by place, which comes first in the struct
     start = F.struct(F.expr("cast(array() as array<bigint>)").alias("seen"), F.expr("cast(array() as array<int>)").alias("gone"))
 
     def step(acc, x):
         stays = x["keep"].eqNullSafe(F.col("doc_id").cast("long")) & ~F.array_contains(acc["seen"], x["class"])
         return F.struct(F.when(stays, F.array_append(acc["seen"], x["class"])).otherwise(acc["seen"]).alias("seen"), F.when(stays, acc["gone"]).otherwise(F.array_append(acc["gone"], x["pos"])).alias("gone"))
 
-    joined = joined.withColumn("_gone", F.aggregate(ordered, start, step, lambda acc: acc["gone"]))
-    kept = F.array_join(F.filter(F.split("text", "\n"), lambda x, k: ~F.array_contains("_gone", k)), "\n")
-    joined = joined.withColumn("_text", F.when(F.size("_gone") > 0, kept).otherwise(F.col("text")))
-    joined = joined.where(F.col("text").isNull() | F.col("_gone").isNull() | (F.length("_text") >= least * F.length("text")))
-    out = [F.col("_text").alias(c) if c == "text" else F.length("_text").cast("long").alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in df.columns]
+    joined = joined.withColumn("pw__gone", F.aggregate(ordered, start, step, lambda acc: acc["gone"]))
+    kept = F.array_join(F.filter(F.split("text", "\n"), lambda x, k: ~F.array_contains("pw__gone", k)), "\n")
+    joined = joined.withColumn("pw__text", F.when(F.size("pw__gone") > 0, kept).otherwise(F.col("text")))
+    joined = joined.where(F.col("text").isNull() | F.col("pw__gone").isNull() | (F.length("pw__text") >= least * F.length("text")))
+    out = [F.col("pw__text").alias(c) if c == "text" else F.length("pw__text").cast("long").alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in df.columns]
     return joined.select(*out)
 
 

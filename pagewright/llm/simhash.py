@@ -213,15 +213,15 @@ def near_duplicates(df: DataFrame, shingle: int = 5, distance: int = 4, id_colum
     return out.select(F.col("doc_id").alias(id_column), F.lower(F.lpad(F.hex("f0"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def similar(df: DataFrame, shingle: int = 5, similarity: float = 0.8, words: int = 4, tables: int = 64, bits: int = 20) -> DataFrame:
+def similar(df: DataFrame, shingle: int = 5, similarity: float = 0.8, words: int = 4, tables: int = 64, bits: int = 18) -> DataFrame:
     """doc_id and component_id over links of that similarity (Jaccard, of shingles) or more, as wide fingerprints tell it.
 
     At 0.8 about 15 % of a fingerprint's bits differ, for which pigeonhole blocks of 64 bits would be too narrow
     to tell anything apart. So the fingerprint has 64 x `words` bits, the blocks are `tables` samples of `bits` of
-    its places, of which such a pair shares one with probability 0.95 and closer pairs nearly surely, and the
-    distance is verified against the expected one plus its standard deviation. Rows are treated as in near_duplicates.
+    its places, of which such a pair shares one with probability 0.96 and closer pairs nearly surely, and the
+    distance is verified against the expected one plus 1.25 standard deviations. Rows are treated as in near_duplicates.
     """
     cosine = 2 * similarity / (1 + similarity)
     flip, n = math.acos(cosine) / math.pi, 64 * words
-    distance = int(n * flip + math.sqrt(n * flip * (1 - flip)))
+    distance = int(n * flip + 1.25 * math.sqrt(n * flip * (1 - flip)))
     return _classes(df.select("doc_id", "text"), shingle, words, distance, lambda fps: sampled_keys(fps, words, tables, bits)).select("doc_id", "component_id")
