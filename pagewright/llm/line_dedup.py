@@ -82,51 +82,86 @@ def edits_within(a: np.ndarray, m: np.ndarray, b: np.ndarray, n: np.ndarray, thr
 def _matrix(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
     size = np.array([len(x) for x in lines])
     out = np.zeros((len(lines), int(size.max()) + 1), np.uint32)
-    for r, x in enumerate(lines):
-        out[r, : size[r]] = np.frombuffer(x.encode("utf-32-le"), "<u4")
+    flat = np.frombuffer("".join(lines).encode("utf-32-le"), "<u4")
+    out[np.repeat(np.arange(len(lines)), size), np.arange(len(flat)) - np.repeat(np.cumsum(size) - size, size)] = flat
     return out, size
 
 
-def _forest(lines: list[str], threshold: int):
-    """(x, y) indexes that join what is linked within one group; a line found is not looked for again."""
-    codes, size = _matrix(lines)
-    rest = np.arange(len(lines))
-    while len(rest) > 1:
-        frontier, rest = [int(rest[0])], rest[1:]
-        while frontier and len(rest):
-            x = frontier.pop()
-            ok = np.zeros(len(rest), bool)
-            near = np.flatnonzero(np.abs(size[rest] - size[x]) <= threshold)
-            for at in range(0, len(near), 256):
-                some = rest[near[at : at + 256]]
-                width = int(max(size[some].max(), size[x])) + 1
-                ok[near[at : at + 256]] = edits_within(np.broadcast_to(codes[x, :width], (len(some), width)), np.full(len(some), size[x]), codes[some, :width], size[some], threshold)
-            for y in rest[ok].tolist():
-                yield x, y
-                frontier.append(y)
-            rest = rest[~ok]
+def _counts(lines: list[str]) -> np.ndarray:
+    """How often each line has each of 64 classes of characters: an edit changes two of the counts at most."""
+    flat = np.frombuffer("".join(lines).encode("utf-32-le"), "<u4")
+    row = np.repeat(np.arange(len(lines)), [len(x) for x in lines])
+    return np.bincount(row * 64 + (flat & 63), minlength=64 * len(lines)).reshape(-1, 64).astype(np.int32)
+
+
+class _Group:
+    """Lines of a batch, for which pairs of rows are verified many at a time."""
+
+    def __init__(self, lines: list[str], threshold: int):
+        self.lines, self.threshold, self.counts = lines, threshold, _counts(lines)
+        self.size = np.array([len(x) for x in lines])
+
+    def may_be(self, x, y: np.ndarray) -> np.ndarray:
+        """Whether lengths and counts allow the pairs (x, y)."""
+        ok = np.abs(self.size[x] - self.size[y]) <= self.threshold
+        ok[ok] = np.abs(self.counts[x if np.isscalar(x) else x[ok]] - self.counts[y[ok]]).sum(1) <= 2 * self.threshold
+        return ok
+
+    def linked(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(x), bool)
+        order = np.argsort(self.size[x], kind="stable")  # so that a block's lines are of like length
+        for at in range(0, len(order), 2048):
+            k = order[at : at + 2048]
+            (a, m), (b, n) = _matrix([self.lines[r] for r in x[k].tolist()]), _matrix([self.lines[r] for r in y[k].tolist()])
+            out[k] = edits_within(a, m, b, n, self.threshold)
+        return out
+
+    def forest(self, rows: np.ndarray):
+        """(x, y) rows that join what is linked within one large group; a line found is not looked for again."""
+        rest = rows
+        while len(rest) > 1:
+            frontier, rest = [int(rest[0])], rest[1:]
+            while frontier and len(rest):
+                x = frontier.pop()
+                near = np.flatnonzero(self.may_be(x, rest))
+                if not len(near):
+                    continue
+                found = near[self.linked(np.full(len(near), x), rest[near])]
+                for y in rest[found].tolist():
+                    yield x, y
+                    frontier.append(y)
+                rest = np.delete(rest, found)
 
 
 def _links(threshold: int):
     def run(batches):
-        known: set[tuple[int, int]] = set()
         for t, cut in grouped(batches, ["key", "i", "j"], 2 * CHUNK):
-            ids, lines = t["lid"].to_pylist(), t["line"]
+            ids = t["lid"].combine_chunks().to_numpy()
+            own = _Group(t["line"].to_pylist(), threshold)
+            sizes = np.diff(cut)
+            group = np.repeat(np.arange(len(sizes)), sizes)
+            small = np.flatnonzero(np.repeat(sizes <= 24, sizes))
             a, b = [], []
-            for s, e in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
-                first = {ids[r]: r for r in range(s, e)}
-                if len(first) < 2 or (len(first) == 2 and tuple(sorted(first)) in known):
-                    continue
-                own = list(first)
-                if len(own) == 2:
-                    if len(known) > 1_000_000:
-                        known.clear()
-                    known.add(tuple(sorted(own)))
-                for x, y in _forest([lines[first[i]].as_py() for i in own], threshold):
-                    a.append(own[x])
-                    b.append(own[y])
+            for lag in range(1, 24):
+                same = np.flatnonzero(group[small[lag:]] == group[small[:-lag]]) if lag < len(small) else []
+                if not len(same):
+                    break
+                a.append(small[same])
+                b.append(small[same + lag])
             if a:
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+                a, b = np.concatenate(a), np.concatenate(b)
+                pair = np.stack([np.minimum(ids[a], ids[b]), np.maximum(ids[a], ids[b])], 1)
+                keep = np.unique(pair, axis=0, return_index=True)[1]  # a pair may share several keys
+                a, b = a[keep], b[keep]
+                ok = (ids[a] != ids[b]) & own.may_be(a, b)
+                a, b = a[ok], b[ok]
+                ok = own.linked(a, b)
+                a, b = a[ok], b[ok]
+            pairs = [(x, y) for k in np.flatnonzero(sizes > 24) for x, y in own.forest(np.arange(cut[k], cut[k + 1])) if ids[x] != ids[y]]
+            x = np.concatenate([np.array(a, np.int64), np.array([p[0] for p in pairs], np.int64)])
+            y = np.concatenate([np.array(b, np.int64), np.array([p[1] for p in pairs], np.int64)])
+            if len(x):
+                yield pa.RecordBatch.from_arrays([pa.array(ids[x]), pa.array(ids[y])], ["a", "b"])
 
     return run
 
