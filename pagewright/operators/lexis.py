@@ -61,3 +61,11 @@ def w3(spark, sf_dir):
     w = Window.partitionBy("user_id").orderBy("event_id")
     e = table(spark, sf_dir, "events").select("event_id", "event_type", F.lead("event_type").over(w).alias("nt"), F.lead("event_id").over(w).alias("next_id"))
     return e.where("event_type = 'view' and nt = 'click'").select("event_id", "next_id")
+portable("l15_enricher_notes", r"select doc_id, word, case when matches(word, r'(.)th') then 'th inside' when length(word) > 18 then 'long' end as note from {everywhere_missing} where matches(word, r'(.)th') or length(word) > 18")
+portable("l17_adjacent_anchor_joins", r"select page_id, rx_replace(x, '</a><a[^>]*>', '') as joined from (select page_id, elements(regexp_extract_all(html, r'>([A-Za-z]+</a><a[^>]*>[A-Za-z]+)', 1)) as x from {pages_x}) t")
+portable("l18_delimiter_runs", r"select doc_id, x, count(*) as n from (select doc_id, elements(regexp_extract_all(text, r'([&$%#*]{2,})', 1)) as x from {documents}) t group by doc_id, x")
+portable("l19_script_scan", "select route, count(*) as scripts, cast(sum(pages) as bigint) as pages from (select a.url, count(distinct r.page_id) as pages, case when count(distinct r.page_id) > 30 then 'BULK' else 'CLEAR' end as route from {assets} a join {page_refs} r on r.asset_id = a.asset_id where a.ext = '.js' group by a.url) t group by route")
+portable("l21_dictionary_cleaned", "select lang, min(word) as first, max(word) as last, count(distinct word) as n from {lexicon} where length(word) > 1 group by lang")
+portable("l23_raw_span", "select page_id, instr(html, '&amp;') as at, substring(html, instr(html, '&amp;'), 5) as raw from {pages} where instr(html, '&amp;') > 0".replace("instr(html, '&amp;') as at", "cast(instr(html, '&amp;') as bigint) as at"))
+portable("l26_excerpt_by_source", "select page_id, case page_id % 3 when 0 then regexp_extract(html, '<title>([^<]*)', 1) when 1 then regexp_extract(html, 'href=\"([^\"]*)', 1) else regexp_extract(html, '<p>([^<]*)', 1) end as excerpt from {pages}")
+portable("l27_suppressing_words", r"select page_id, word, kind from (select page_id, lower(regexp_extract(detail, r'([\p{L}]+)$', 1)) as word, 'collision' as kind from {q10} union all select page_id, lower(detail), 'unwanted' from {q15}) t where word <> '' group by page_id, word, kind")

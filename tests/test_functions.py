@@ -78,3 +78,31 @@ def test_first_visits(spark, tmp_path):
     events.run(spark, str(tmp_path / "in"), base.schema, events.first_visits, str(tmp_path / "out"), str(tmp_path / "state"))
     out = spark.read.parquet(str(tmp_path / "out"))
     assert out.count() == out.dropDuplicates(["user_id", "event_type"]).count() == base.dropDuplicates(["user_id", "event_type"]).count()
+
+
+def test_image_metadata():
+    import struct
+
+    from pagewright.operators import images
+
+    def tiff(order):
+        gps = 8 + 2 + 12 * 2 + 4
+        o = {"<": b"II*\0", ">": b"MM\0*"}[order]
+        main = struct.pack(order + "H", 2) + struct.pack(order + "HHI", 0x013B, 2, 4) + b"Ann\0" + struct.pack(order + "HHII", 0x8825, 4, 1, gps) + bytes(4)
+        data = gps + 2 + 12 * 2 + 4
+        ifd = struct.pack(order + "H", 2) + struct.pack(order + "HHI", 1, 2, 2) + b"S\0\0\0" + struct.pack(order + "HHII", 2, 5, 3, data) + struct.pack(order + "I", gps)
+        return o + struct.pack(order + "I", 8) + main + ifd + struct.pack(order + "6I", 10, 1, 30, 1, 36, 1)
+
+    for order in "<>":
+        tags = images.exif(tiff(order))
+        assert tags == {"Artist": "Ann", "gps.LatitudeRef": "S", "gps.Latitude": "10 30 36"}
+        assert images.degrees(tags["gps.Latitude"], tags["gps.LatitudeRef"]) == pytest.approx(-10.51)
+        for n in range(len(tiff(order))):
+            images.exif(tiff(order)[:n])  # damaged at any place: no error
+    segment = lambda m, b: bytes([0xFF, m]) + (len(b) + 2).to_bytes(2, "big") + b
+    caption = b"8BIM\x04\x04\0\0\0\0\0\x0a\x1c\x02\x78\0\x05Hello"
+    packet = b'http://ns.adobe.com/xap/1.0/\0<x xmp:CreatorTool="T"><dc:creator><rdf:Seq><rdf:li>Bo</rdf:li></rdf:Seq></dc:creator></x>'
+    jpeg = b"\xff\xd8" + segment(0xE1, b"Exif\0\0" + tiff("<")) + segment(0xED, caption) + segment(0xE1, packet) + segment(0xC0, b"\x08\0\x10\0\x20\x03") + b"\xff\xd9"
+    got = images.metadata(jpeg)
+    assert (got["width"], got["height"], got["exif:Artist"], got["iptc:Caption"], got["xmp:dc:creator"], got["xmp:xmp:CreatorTool"]) == ("32", "16", "Ann", "Hello", "Bo", "T")
+    assert images.xmp(b"<!DOCTYPE x><dc:title>t</dc:title>") == {} and images.metadata(None) == {}
