@@ -2,11 +2,11 @@
 
 A rolling hash triggers phrases: the trigger of a window of `length` bytes is the least hash of the GRAM bytes at
 its first SPAN places, so equal windows have their triggers at the same place wherever they stand. A phrase is a
-trigger with the windows it is the trigger of; no phrase is a prefix of another's windows. Phrases whose bytes
-after the trigger occur once hold no repeated window and go no further; they are most of the corpus. The others
-form the dictionary: their windows are sorted, phrase by phrase, which brings equal windows of the whole corpus
-beside each other, and those that stand at two places are the passages to remove. Texts that occur twice as a
-whole are found by their hash and parsed once.
+trigger with the windows it is the trigger of. The corpus becomes a table of phrases with two hashes: of the bytes
+that all windows of the trigger hold, and of all bytes of the phrase. A phrase that stands at two places as a
+whole repeats all its windows; one whose common bytes stand at one place alone repeats none; where different phrases hold
+the same common bytes, one of each is cut into finer phrases about the trigger, down to single windows. So the dictionary is only ever counted, by
+aggregates that combine before they shuffle, and no phrase, however frequent, is gathered in a task.
 """
 
 from __future__ import annotations
@@ -18,34 +18,24 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, grouped, sized
+from .common import checkpoint, sized
 
 SPAN, GRAM = 320, 16
-#: Phrases of one trigger that are sorted in a task; of more, each two chunks are sorted together.
-CHUNK = 512
+#: Windows of a finer phrase, level by level; the last tells single windows apart.
+WIDTHS = (40, 5, 1)
 
 _RNG = np.random.default_rng(20)
-_MAPS = [_RNG.integers(0, 1 << 63, 256, dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1) for _ in range(2)]
-_BASES = [np.array([x], np.uint64) for x in (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)]
-
-
-def _roll(data: np.ndarray, length: int, which: int = 0) -> np.ndarray:
-    """Polynomial hashes of all `length`-byte runs, put together from runs of powers of two."""
-    h, power, m = _MAPS[which][data], _BASES[which], 1
-    out, done = None, 0
-    while m <= length:
-        if length & m:
-            out = h if out is None else h[: len(h) - done][: len(data) - done - m + 1] * scale + out[m:]
-            scale = power if done == 0 else scale * power
-            done += m
-        if 2 * m <= length:
-            h = h[:-m] * power + h[m:]
-            power = power * power
-        m *= 2
-    return out
+_MAP = _RNG.integers(0, 1 << 63, 256, dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
+_BASE = np.array([0x9E3779B97F4A7C15], np.uint64)
 
 
-def _mix(h: np.ndarray) -> np.ndarray:
+def _grams(data: np.ndarray) -> np.ndarray:
+    """Rolling hashes of all runs of GRAM bytes, a power of two, each from two of half the length."""
+    h, power, m = _MAP[data], _BASE, 1
+    while m < GRAM:
+        h = h[:-m] * power + h[m:]
+        power = power * power
+        m *= 2
     h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
     return h ^ (h >> np.uint64(32))
 
@@ -55,7 +45,7 @@ def phrases(data: np.ndarray, length: int) -> list[tuple[int, int, int]]:
     n = len(data) - length + 1
     if n < 1:
         return []
-    h = _mix(_roll(data, GRAM))[: n + SPAN - 1]
+    h = _grams(data)[: n + SPAN - 1]
     low, m = h, 1
     while 2 * m <= SPAN:
         low = np.minimum(low[:-m], low[m:])
@@ -72,22 +62,49 @@ def phrases(data: np.ndarray, length: int) -> list[tuple[int, int, int]]:
     return out
 
 
-def _parse(length: int):
-    known = length - SPAN + 1  # bytes from the trigger on that all its windows hold
+def _hash(*parts: bytes) -> int:
+    h = hashlib.blake2b(digest_size=8)
+    for p in parts:
+        h.update(p)
+    return int.from_bytes(h.digest(), "little", signed=True)
+
+
+def _finer(at: int, first: int, last: int, width: int):
+    """(step, first, last) of the parts of a phrase: windows by their distance to the trigger, `width` distances a part."""
+    for step in range((at - last) // width, (at - first) // width + 1):
+        yield step, max(first, at - (step + 1) * width + 1), min(last, at - step * width)
+
+
+def _rows(raw: bytes, tid: bytes, at: int, first: int, last: int, width: int | None, length: int):
+    """Table rows of a phrase, or of its parts: what all windows about the trigger hold is hashed apart from the whole."""
+    if width is None:
+        yield tid, at, first, last, _hash(raw[at : at + length - SPAN + 1]), _hash(b"%d,%d," % (at - first, at - last), raw[first : last + length])
+        return
+    for step, a, b in _finer(at, first, last, width):
+        known = raw[at - step * width : at - (step + 1) * width + 1 + length]
+        yield tid, at, a, b, _hash(b"%d:" % step, known), _hash(b"%d,%d," % (at - a, at - b), raw[a : b + length])
+
+
+_TABLE = "tid binary, at int, first int, last int, k long, f long"
+
+
+def _parse(width: int | None, length: int):
+    """Rows of the phrases of each text, or of finer parts of those that are named with it; a text is parsed once a task."""
 
     def run(batches):
         seen: set[bytes] = set()
         for b in batches:
             for at in range(0, b.num_rows, 256):
-                rows = []
-                for tid, text in zip(b.column(0).slice(at, 256).to_pylist(), b.column(1).slice(at, 256).to_pylist(), strict=True):
+                part, rows = b.slice(at, 256), []
+                named = part.column(2).to_pylist() if width else [None] * part.num_rows
+                for tid, text, own in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), named, strict=True):
                     if tid in seen:
                         continue
                     seen.add(tid)
                     raw = text.encode()
-                    for t, first, last in phrases(np.frombuffer(raw, np.uint8), length):
-                        rows.append((int.from_bytes(hashlib.blake2b(raw[t : t + known], digest_size=8).digest(), "little", signed=True), tid, t, first, last))
-                        if len(rows) == 65536:
+                    for t, first, last in [(p["at"], p["first"], p["last"]) for p in own] if width else phrases(np.frombuffer(raw, np.uint8), length):
+                        rows.extend(_rows(raw, tid, t, first, last, width, length))
+                        if len(rows) > 65536:
                             yield _columns(rows)
                             rows = []
                 if rows:
@@ -97,101 +114,30 @@ def _parse(length: int):
 
 
 def _columns(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.int32()]
-    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], ["key", "tid", "at", "first", "last"])
-
-
-def _cut_out(length: int):
-    """The bytes of each phrase's windows, for the phrases named with each text."""
-
-    def run(batches):
-        seen: set[bytes] = set()
-        for b in batches:
-            rows, held = [], 0
-            for tid, text, named in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
-                if tid in seen:
-                    continue
-                seen.add(tid)
-                raw = text.encode()
-                for p in named:
-                    rows.append((p["key"], tid, p["at"], p["first"], p["last"], raw[p["first"] : p["last"] + length]))
-                    held += len(rows[-1][5])
-                    if held > 8 << 20:
-                        yield _phrases(rows)
-                        rows, held = [], 0
-            if rows:
-                yield _phrases(rows)
-
-    return run
-
-
-def _phrases(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.int32(), pa.binary()]
-    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], ["key", "tid", "at", "first", "last", "bytes"])
-
-
-def _sort_windows(length: int):
-    def some(t: pa.Table, cut: np.ndarray):
-        """Runs of the windows of the groups t[cut[i]:cut[i + 1]] that stand at two places."""
-        group = np.repeat(np.arange(len(cut) - 1), np.diff(cut))
-        at, first, last = (t[c].combine_chunks().to_numpy().astype(np.int64) for c in ("at", "first", "last"))
-        tids = t["tid"].to_pylist()
-        blob = t["bytes"].combine_chunks().cast(pa.large_binary())
-        _, off, data = blob.buffers()
-        off = np.frombuffer(off, np.int64, len(blob) + 1 + blob.offset)[blob.offset :]
-        data = np.frombuffer(data, np.uint8)[off[0] : off[-1]]
-        many = last - first + 1
-        row = np.repeat(np.arange(len(at)), many)
-        step = np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)
-        place = (off[:-1] - off[0])[row] + step
-        h1, h2 = _roll(data, length, 0)[place], _roll(data, length, 1)[place]
-        back = (at - first)[row] - step  # from the window's start to its trigger
-        who = np.unique(np.array([hash((k, a)) for k, a in zip(tids, at.tolist(), strict=True)], np.int64), return_inverse=True)[1][row]
-        order = np.lexsort((who, h2, h1, back, group[row]))
-        g, b, x, y, w = (v[order] for v in (group[row], back, h1, h2, who))
-        same = (g[1:] == g[:-1]) & (b[1:] == b[:-1]) & (x[1:] == x[:-1]) & (y[1:] == y[:-1])
-        run = np.concatenate([[0], np.cumsum(~same)])
-        two = np.zeros(run[-1] + 1, bool)
-        two[run[1:][same & (w[1:] != w[:-1])]] = True
-        hit = np.zeros(len(row), bool)
-        hit[order] = two[run]
-        k = np.flatnonzero(hit)
-        if not len(k):
-            return None
-        head = np.concatenate([[True], (k[1:] != k[:-1] + 1) | (row[k[1:]] != row[k[:-1]])])
-        tail = np.concatenate([head[1:], [True]])
-        r, s, e = row[k[head]], step[k[head]], step[k[tail]]
-        return pa.RecordBatch.from_arrays([pa.array([tids[i] for i in r.tolist()], pa.binary()), pa.array(first[r] + s), pa.array(first[r] + e + length)], ["tid", "start", "end"])
-
-    def run(batches):
-        for t, cut in grouped(batches, ["key", "i", "j"], 2 * CHUNK):
-            lo = 0
-            while lo < len(cut) - 1:  # about CHUNK phrases at a time
-                hi = max(lo + 1, int(np.searchsorted(cut, cut[lo] + CHUNK, "right")) - 1)
-                part = t.slice(cut[lo], cut[hi] - cut[lo])
-                found = some(part, cut[lo : hi + 1] - cut[lo])
-                if found is not None:
-                    yield found
-                lo = hi
-
-    return run
+    kinds = [pa.binary(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64()]
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], ["tid", "at", "first", "last", "k", "f"])
 
 
 def repeated(df: DataFrame, length: int) -> DataFrame:
     """(tid, whole, spans): for texts (by md5) that occur twice or hold windows that stand at two places, the bytes to remove."""
-    rows = df.where(F.octet_length("text") >= length).select(F.unhex(F.md5("text")).alias("tid"), "text")
-    anchors = checkpoint(rows.mapInArrow(_parse(length), "key long, tid binary, at int, first int, last int"))
-    occurs = anchors.select("key", F.xxhash64("tid", "at").alias("o"))
-    keys = checkpoint(occurs.groupBy("key").agg(F.min("o").alias("a"), F.max("o").alias("b"), F.count("*").alias("n")).where("a <> b").select("key", F.ceil(F.col("n") / CHUNK).cast("int").alias("chunks")))
-    few = keys.count()
-    named = anchors.join(sized(keys.select("key"), few), "key", "left_semi").dropDuplicates(["key", "tid", "at"])
-    named = checkpoint(named.groupBy("tid").agg(F.collect_list(F.struct("key", "at", "first", "last")).alias("named")))
-    cut = rows.join(sized(named, named.count()), "tid").select("tid", "text", "named").mapInArrow(_cut_out(length), "key long, tid binary, at int, first int, last int, bytes binary")
-    cut = cut.join(sized(keys, few), "key").withColumn("c", F.pmod(F.xxhash64("tid", "at"), F.col("chunks").cast("long")).cast("int"))
-    cut = cut.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).select("key", F.least("c", "o").alias("i"), F.greatest("c", "o").alias("j"), "tid", "at", "first", "last", "bytes")
-    spans = cut.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_sort_windows(length), "tid binary, start long, end long")
-    spans = spans.groupBy("tid").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("spans"))
-    twice = rows.groupBy("tid").agg(F.count("*").alias("n")).where("n > 1").select("tid", F.lit(True).alias("whole"))
+    texts = df.where(F.octet_length("text") >= length).select(F.unhex(F.md5("text")).alias("tid"), "text")
+    rows, spans = checkpoint(texts.mapInArrow(_parse(None, length), _TABLE)), None
+    for width in (*WIDTHS, None):
+        places = rows.select("k", "f", F.xxhash64("tid", "at", "first").alias("o")).groupBy("k", "f").agg(F.min("o").alias("a"), F.max("o").alias("b"))
+        whole = checkpoint(places.where("a <> b").select("k", "f", F.col("a").alias("one")))
+        n = whole.count()
+        hit = rows.join(sized(whole, n), ["k", "f"], "left_semi").select("tid", F.col("first").cast("long").alias("start"), (F.col("last") + length).cast("long").alias("end"))
+        hit = checkpoint(hit.groupBy("tid").agg(F.collect_set(F.struct("start", "end")).alias("s")))
+        spans = hit if spans is None else spans.unionByName(hit)
+        if width is None:
+            break
+        mixed = checkpoint(places.groupBy("k").agg(F.count("*").alias("n")).where("n > 1").select("k"))
+        todo = rows.join(sized(mixed, mixed.count()), "k", "left_semi").join(sized(whole, n), ["k", "f"], "left")
+        todo = todo.where(F.col("one").isNull() | (F.col("one") == F.xxhash64("tid", "at", "first")))  # one of equal phrases stands for them
+        todo = checkpoint(todo.groupBy("tid").agg(F.collect_set(F.struct("at", "first", "last")).alias("named")))
+        rows = checkpoint(texts.join(sized(todo, todo.count()), "tid").select("tid", "text", "named").mapInArrow(_parse(width, length), _TABLE))
+    spans = spans.groupBy("tid").agg(F.array_sort(F.flatten(F.collect_list("s"))).alias("spans"))
+    twice = texts.groupBy("tid").agg(F.count("*").alias("n")).where("n > 1").select("tid", F.lit(True).alias("whole"))
     return spans.join(twice, "tid", "full").select("tid", F.coalesce("whole", F.lit(False)).alias("whole"), "spans")
 
 
