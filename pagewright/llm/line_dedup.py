@@ -43,7 +43,7 @@ def _keys(threshold: int):
         start = each * i + F.greatest(longer - (k - i), F.lit(0))
         width = each + F.when(longer > k - 1 - i, 1).otherwise(0)
         out.append(F.xxhash64(F.lit(i), target, F.substring("line", (start + shift + 1), width)))
-    return F.array_distinct(F.array(*out))
+    return F.array(*out)
 
 
 def edits_within(a: np.ndarray, m: np.ndarray, b: np.ndarray, n: np.ndarray, threshold: int) -> np.ndarray:
@@ -117,20 +117,28 @@ class _Group:
         return out
 
     def forest(self, rows: np.ndarray):
-        """(x, y) rows that join what is linked within one large group; a line found is not looked for again."""
-        rest = rows
-        while len(rest) > 1:
-            frontier, rest = [int(rest[0])], rest[1:]
-            while frontier and len(rest):
-                x = frontier.pop()
-                near = np.flatnonzero(self.may_be(x, rest))
-                if not len(near):
-                    continue
-                found = near[self.linked(np.full(len(near), x), rest[near])]
-                for y in rest[found].tolist():
-                    yield x, y
-                    frontier.append(y)
-                rest = np.delete(rest, found)
+        """(x, y) rows that join what is linked within one large group.
+
+        Pairs that lengths and counts allow are verified in rounds, a few of each row at first and ever more; pairs
+        within a component that has formed are left out.
+        """
+        x, y = [], []
+        for k, r in enumerate(rows[:-1].tolist()):
+            near = rows[k + 1 :][self.may_be(r, rows[k + 1 :])]
+            x.append(np.full(len(near), r))
+            y.append(near)
+        x, y, label, few = np.concatenate(x), np.concatenate(y), np.arange(int(rows[-1]) + 1), 1
+        while len(x):
+            head = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]]))
+            place = np.arange(len(x)) - np.repeat(head, np.diff(np.append(head, len(x))))
+            now = place < few
+            ok = self.linked(x[now], y[now])
+            for a, b in zip(x[now][ok].tolist(), y[now][ok].tolist(), strict=True):
+                if label[a] != label[b]:
+                    label[label == label[b]] = label[a]
+                    yield a, b
+            rest = ~now & (label[x] != label[y])
+            x, y, few = x[rest], y[rest], few * 4
 
 
 def _links(threshold: int):

@@ -304,6 +304,29 @@ def test_bit_parallel_distance(threshold):
     assert line_dedup.edits_within(a, m, b, n, threshold).tolist() == [distance(x, y) <= threshold for x, y in pairs]
 
 
+def test_large_groups_of_lines_lose_no_link():
+    rng = random.Random(5)
+    base = "".join(rng.choice("abcdefgh ") for _ in range(50))
+    lines = [mutated(rng, base, 4) for _ in range(90)] + [mutated(rng, "".join(rng.choice("abc ") for _ in range(48)), 1) for _ in range(10)]
+
+    def roots(edges):
+        up = list(range(len(lines)))
+
+        def find(x):
+            while up[x] != x:
+                x = up[x]
+            return x
+
+        for a, b in edges:
+            a, b = find(a), find(b)
+            up[max(a, b)] = min(a, b)
+        return [find(k) for k in range(len(lines))]
+
+    want = [(a, b) for a in range(len(lines)) for b in range(a) if distance(lines[a], lines[b]) <= 2]
+    got = list(line_dedup._Group(lines, 2).forest(np.arange(len(lines))))
+    assert roots(got) == roots(want) and all(distance(lines[a], lines[b]) <= 2 for a, b in got)
+
+
 def test_lines(spark, monkeypatch):
     monkeypatch.setattr(line_dedup, "CHUNK", 8)
     rng = random.Random(2)
@@ -428,8 +451,7 @@ def slow_repeats(docs, length):
     return out
 
 
-def test_repeated_strings(spark, monkeypatch):
-    monkeypatch.setattr(substring_dedup, "CHUNK", 4)
+def test_repeated_strings(spark):
     rng = random.Random(7)
     u, v = "".join(rng.choice("abcdefgh ") for _ in range(4000)), "".join(rng.choice("xyz ") for _ in range(3000))
     texts = [u[:2000], v[:100] + u[300:705] + v[100:200], v[200:250] + u[300:700], u[1000:1399], "a" * 900, "b" * 399, "b" * 400 + "c", "", None, v + v[:900]]
