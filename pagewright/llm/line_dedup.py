@@ -3,7 +3,8 @@
 A line of length l is cut into threshold + 1 even segments; a line within the threshold of it holds one of them
 whole, near its place. So each line gives a key for each of its own segments and one for each substring of it
 that could be a segment of an equally long or shorter line, and lines that share a key are verified by a banded
-bit-parallel edit distance. Keys that one line alone has are dropped before any text is moved.
+bit-parallel edit distance. Keys that one line alone has are dropped before any text is moved. Lines of any length
+take part but blank ones; a line of `threshold` characters or fewer has segments of none, which every line has.
 """
 
 from __future__ import annotations
@@ -16,8 +17,8 @@ from pyspark.sql import functions as F
 from .common import checkpoint, components, grouped, sized
 
 THRESHOLD = 2
-#: Characters from which a line is compared at all, and from which other than equal lines are.
-SHORT, FUZZY = 20, 30
+#: Characters (but spaces around) from which a line is compared at all, and from which other than equal lines are: no line but a blank one is left out.
+SHORT, FUZZY = 1, 1
 #: Lines of one key verified in a task; of more, each two chunks are verified together.
 CHUNK = 512
 #: Rows of a one-column table of keys up to which it is broadcast.
@@ -42,8 +43,8 @@ def _keys(threshold: int):
         each, longer = F.floor(target / k).cast("int"), target % k
         start = each * i + F.greatest(longer - (k - i), F.lit(0))
         width = each + F.when(longer > k - 1 - i, 1).otherwise(0)
-        out.append(F.xxhash64(F.lit(i), target, F.substring("line", (start + shift + 1), width)))
-    return F.array(*out)
+        out.append(F.when(target > 0, F.xxhash64(F.lit(i), target, F.substring("line", (start + shift + 1), width))))
+    return F.array_compact(F.array(*out))
 
 
 def edits_within(a: np.ndarray, m: np.ndarray, b: np.ndarray, n: np.ndarray, threshold: int) -> np.ndarray:
@@ -112,7 +113,8 @@ class _Group:
         order = np.argsort(self.size[x], kind="stable")  # so that a block's lines are of like length
         for at in range(0, len(order), 2048):
             k = order[at : at + 2048]
-            (a, m), (b, n) = _matrix([self.lines[r] for r in x[k].tolist()]), _matrix([self.lines[r] for r in y[k].tolist()])
+            front = "" if min(self.size[x[k]].min(), self.size[y[k]].min()) > self.threshold else " " * self.threshold  # what both have in front costs no edit
+            (a, m), (b, n) = _matrix([front + self.lines[r] for r in x[k].tolist()]), _matrix([front + self.lines[r] for r in y[k].tolist()])
             out[k] = edits_within(a, m, b, n, self.threshold)
         return out
 
@@ -230,7 +232,7 @@ def _kept(text: str | None, doc, hits) -> tuple[str, int, int] | None:
 def dedup_lines(df: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """doc_id, text without the lines that go, n_lines and n_removed of every document.
 
-    Lines of under SHORT characters stay. Of a class, the first line in the document with the least doc_id stays.
+    Blank lines stay. Of a class, the first line in the document with the least doc_id stays.
     A null text stays null with no lines; rows with equal ids count as one document and keep the same; rows with
     a null id lose what a document with an id has; an empty table gives an empty result. Other columns are not read.
     """

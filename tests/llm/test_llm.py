@@ -371,6 +371,33 @@ def test_lines(spark, monkeypatch):
     assert line_dedup.dedup_lines(table(spark, [])).count() == 0
 
 
+def test_short_lines_take_part(spark, monkeypatch):
+    """All lines but blank ones, with no cut-off by length: equal short lines, pairs around 20 and 30 characters, lines shorter than the threshold."""
+    monkeypatch.setattr(line_dedup, "CHUNK", 8)
+    rng = random.Random(12)
+    draw = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyzäß") for _ in range(n))
+    texts = [draw(rng.choice([1, 2, 3, 4, 5, 7, 9, 12, 19, 20, 28, 29, 30, 31])) for _ in range(90)]
+    texts += [mutated(rng, x, 3) for x in texts for _ in range(2)] + ["And ornd.", "And ornd.", "x" * 29, "x" * 30, " ", "", "  "]
+    for threshold in (1, 2):
+        lines = sorted({x for x in texts if x.strip(" ")})
+        up = {x: x for x in lines}
+
+        def find(x, up=up):
+            while up[x] != x:
+                x = up[x]
+            return x
+
+        for i, x in enumerate(lines):
+            for y in lines[:i]:
+                if abs(len(x) - len(y)) <= threshold and find(x) != find(y) and distance(x, y) <= threshold:
+                    up[find(x)] = find(y)
+        first, want = set(), {}
+        for k, x in enumerate(texts):
+            want[k] = int(x in up and find(x) in first)
+            first |= {find(x)} if x in up else set()
+        assert {r.doc_id: r.n_removed for r in line_dedup.dedup_lines(table(spark, list(enumerate(texts))), threshold).collect()} == want
+
+
 def test_decontamination(spark, rows):
     bench = [(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
     bench += [(900, None), (901, ""), (902, "Short ITEM here"), (902, "Short ITEM here"), (903, "É é"), (904, bench[1][1])]
