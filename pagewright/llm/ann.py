@@ -131,7 +131,7 @@ def nearest(df: DataFrame, k: int = 10, every: int = 100) -> DataFrame:
     dim = dims[0]["dim"]
     rows = rows.where(F.size("embedding") == dim)
     few = Window.partitionBy("embedding").orderBy("vec_id")
-    kept = rows.withColumn("r", F.row_number().over(few)).where(F.col("r") <= k + 1)
+    kept = rows.dropDuplicates(["vec_id", "embedding"]).withColumn("r", F.row_number().over(few)).where(F.col("r") <= k + 1)
     base = checkpoint(kept.groupBy("embedding").agg(F.array_sort(F.collect_set("vec_id")).alias("ids")))
     n = base.count()
     share = F.pmod(F.xxhash64("embedding"), F.lit(1_000_000)) < int(1_000_000 * min(1.0, 1.1 * SAMPLE / n))

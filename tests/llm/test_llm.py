@@ -195,6 +195,13 @@ def test_nearest_neighbours(spark):
     assert [tuple(r) for r in ann.nearest(df.where("vec_id in (0, 1)")).collect()] == [(0, 1, 1, pytest.approx(np.sqrt(((y[0] - y[1]) ** 2).sum())))]
 
 
+def test_repeated_rows_hide_no_equal_vector(spark):
+    """Of equal vectors the nearest are the smallest ids, however often rows are repeated."""
+    rows = [(k, [1.0, 2.0]) for k in range(1, 15) for _ in range(3)] + [(1, [1.0, 2.0])] * 11 + [(100, [1.0, 2.0])] * 12
+    got = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect())
+    assert got == [(100, k, k, 0.0) for k in range(1, 11)]
+
+
 def slow_private(t):
     out = [("email", *m.span()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]
     out += [("ip", *m.span()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", t) if all(int(x) <= 255 for x in m[0].split("."))]
