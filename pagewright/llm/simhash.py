@@ -1,8 +1,7 @@
-"""SimHash near-duplicate detection: pigeonhole blocks, then exact Hamming distances."""
+"""Near duplicates: SimHash with pigeonhole blocks and exact Hamming distances; MinHash candidates with exact shingle similarity."""
 
 from __future__ import annotations
 
-import math
 from itertools import combinations
 
 import numpy as np
@@ -45,11 +44,8 @@ def identity(fps: np.ndarray) -> np.ndarray:
     return out
 
 
-def fingerprints(data: np.ndarray, offsets: np.ndarray, shingle: int, words: int = 1) -> np.ndarray:
-    """Fingerprints of the texts data[offsets[i]:offsets[i + 1]] (UTF-8), a row of `words` 64-bit words each.
-
-    The first word comes from the shingles' XXH64, the others from that hash mixed again.
-    """
+def shingles(data: np.ndarray, offsets: np.ndarray, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """The XXH64 of all shingles of the texts data[offsets[i]:offsets[i + 1]] (UTF-8), and where each text's begin and the last end."""
     docs = len(offsets) - 1
     gap = _SPACE[data]
     first = ~gap
@@ -62,7 +58,7 @@ def fingerprints(data: np.ndarray, offsets: np.ndarray, shingle: int, words: int
     last[tail] = ~gap[tail]
     s, e = np.flatnonzero(first), np.flatnonzero(last) + 1
     if not len(s):
-        return np.zeros((docs, words), np.uint64)
+        return np.zeros(0, np.uint64), np.zeros(docs + 1, np.int64)
     length = e - s
     to = np.concatenate([[0], np.cumsum(length + 1)])  # each word and a space, one after another
     joined = np.full(to[-1], 32, np.uint8)
@@ -75,7 +71,13 @@ def fingerprints(data: np.ndarray, offsets: np.ndarray, shingle: int, words: int
     cut = np.concatenate([[0], np.cumsum(many)])
     i = np.repeat(before[:-1] - cut[:-1], many) + np.arange(cut[-1])
     j = np.minimum(i + shingle, np.repeat(before[1:], many)) - 1
-    h = xxh64(joined, to[i], to[j] + length[j] - to[i], SEED)
+    return xxh64(joined, to[i], to[j] + length[j] - to[i], SEED), cut
+
+
+def fingerprints(data: np.ndarray, offsets: np.ndarray, shingle: int, words: int = 1) -> np.ndarray:
+    """Fingerprints of the texts, a row of `words` 64-bit words each: the first from the shingles' XXH64, the others from that hash mixed again."""
+    h, cut = shingles(data, offsets, shingle)
+    docs, many = len(offsets) - 1, np.diff(cut)
     out = np.zeros((docs, words), np.uint64)
     for k in range(words):
         x = h if k == 0 else _mix(h + np.uint64(k * 0x9E3779B97F4A7C15 % (1 << 64)))
@@ -109,24 +111,6 @@ def pigeonhole_keys(fps: DataFrame, distance: int) -> DataFrame:
     return fps.select(F.explode(F.array(*keys)).alias("key"), "f0")
 
 
-def sampled_keys(fps: DataFrame, words: int, tables: int, bits: int) -> DataFrame:
-    """(key, f0, f1, ...): a key for each table, `bits` places of the fingerprint that are drawn once for all."""
-    rng = np.random.default_rng(SEED)
-    places = np.stack([rng.choice(64 * words, bits, replace=False) for _ in range(tables)])
-    names = [f"f{k}" for k in range(words)]
-
-    def run(batches):
-        for b in batches:
-            for at in range(0, b.num_rows, 4096):
-                part = b.slice(at, 4096)
-                fps = np.ascontiguousarray(np.stack([part.column(x).to_numpy() for x in names], 1))
-                flat = np.unpackbits(fps.view(np.uint8), axis=1, bitorder="little").astype(np.int64)
-                for t, own in enumerate(places):
-                    yield pa.RecordBatch.from_arrays([pa.array(flat[:, own] @ (1 << np.arange(bits)) + (t << 32)), *part.columns], ["key", *names])
-
-    return fps.select(*names).mapInArrow(run, "key long, " + ", ".join(f"{x} long" for x in names))
-
-
 def _forest(fps: np.ndarray, distance: int):
     """Edges that join what is linked within one bucket: a search that leaves each fingerprint once."""
     rest = np.arange(len(fps))
@@ -213,15 +197,86 @@ def near_duplicates(df: DataFrame, shingle: int = 5, distance: int = 4, id_colum
     return out.select(F.col("doc_id").alias(id_column), F.lower(F.lpad(F.hex("f0"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def similar(df: DataFrame, shingle: int = 5, similarity: float = 0.8, words: int = 4, tables: int = 64, bits: int = 18) -> DataFrame:
-    """doc_id and component_id over links of that similarity (Jaccard, of shingles) or more, as wide fingerprints tell it.
+def _sets(h: np.ndarray, cut: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct hashes of each text in order, and where each text's begin."""
+    owner = np.repeat(np.arange(len(cut) - 1), np.diff(cut))
+    order = np.lexsort((h, owner))
+    h, owner = h[order], owner[order]
+    new = np.ones(len(h), bool)
+    new[1:] = (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])
+    return h[new], np.searchsorted(owner[new], np.arange(len(cut)))
+
+
+def _set_ids(h: np.ndarray, cut: np.ndarray) -> np.ndarray:
+    return xxh64(np.ascontiguousarray(h).view(np.uint8), 8 * cut[:-1], 8 * np.diff(cut), SEED).view(np.int64)
+
 
-    At 0.8 about 15 % of a fingerprint's bits differ, for which pigeonhole blocks of 64 bits would be too narrow
-    to tell anything apart. So the fingerprint has 64 x `words` bits, the blocks are `tables` samples of `bits` of
-    its places, of which such a pair shares one with probability 0.96 and closer pairs nearly surely, and the
-    distance is verified against the expected one plus 1.25 standard deviations. Rows are treated as in near_duplicates.
+def _signatures(df: DataFrame, shingle: int, bands: int, rows: int) -> DataFrame:
+    """doc_id, id (of the set of shingles), n (shingles of it) and bands (a MinHash key each; none without shingles)."""
+    odd = np.random.default_rng(SEED).integers(0, 1 << 63, bands * rows).astype(np.uint64) * np.uint64(2) + np.uint64(1)
+
+    def run(batches):
+        for b in batches:
+            for at, n, data, offsets in slices(b, 0, 1 << 20):
+                h, cut = _sets(*shingles(data, offsets, shingle))
+                full = np.flatnonzero(np.diff(cut))
+                key = np.zeros((n, bands), np.uint64)
+                for k, a in enumerate(odd if len(full) else []):
+                    low = np.minimum.reduceat(h * a, cut[:-1][full])
+                    key[full, k // rows] = _mix(key[full, k // rows] + low + np.uint64(k))
+                keys = pa.ListArray.from_arrays(pa.array(np.cumsum(np.concatenate([[0], np.where(np.diff(cut) > 0, bands, 0)])), pa.int32()), pa.array(key[full].ravel().view(np.int64)))
+                yield pa.RecordBatch.from_arrays([b.column(1).slice(at, n), pa.array(_set_ids(h, cut)), pa.array(np.diff(cut).astype(np.int64)), keys], ["doc_id", "id", "n", "bands"])
+
+    return df.select("text", "doc_id").mapInArrow(run, f"doc_id {df.schema['doc_id'].dataType.simpleString()}, id long, n long, bands array<long>")
+
+
+def _grams(df: DataFrame, shingle: int) -> DataFrame:
+    """id and grams, the set's hashes."""
+
+    def run(batches):
+        for b in batches:
+            for _, _, data, offsets in slices(b, 0, 1 << 20):
+                h, cut = _sets(*shingles(data, offsets, shingle))
+                yield pa.RecordBatch.from_arrays([pa.array(_set_ids(h, cut)), pa.ListArray.from_arrays(pa.array(cut.astype(np.int32)), pa.array(h.view(np.int64)))], ["id", "grams"])
+
+    return df.select("text").mapInArrow(run, "id long, grams array<long>")
+
+
+def _verified(pairs: DataFrame, df: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """The pairs (a, b) of sets whose exact Jaccard similarity is enough."""
+    nodes = checkpoint(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
+    grams = checkpoint(_grams(df, shingle).join(sized(nodes, nodes.count()), "id", "left_semi").dropDuplicates(["id"]))
+    x, y = grams.select(F.col("id").alias("a"), F.col("grams").alias("x")), grams.select(F.col("id").alias("b"), F.col("grams").alias("y"))
+    both = F.size(F.array_intersect("x", "y"))
+    return checkpoint(pairs.join(x, "a").join(y, "b").where(both >= similarity * (F.size("x") + F.size("y") - both) - 1e-9).select("a", "b"))
+
+
+def similar(df: DataFrame, shingle: int = 5, similarity: float = 0.8, bands: int = 40, rows: int = 5) -> DataFrame:
+    """doc_id and component_id over links of that similarity (Jaccard, of sets of shingles) or more.
+
+    MinHash only proposes pairs: `bands` keys of `rows` minima each, of which sets of similarity 0.8 share one but
+    with probability 2e-7. Every link is verified on the whole sets. First each set is compared with the least of
+    each of its keys, then all pairs that share a key and are not in one component yet, so a large group of
+    copies gives no square of pairs. Texts without a word are equal; rows are treated as in near_duplicates.
     """
-    cosine = 2 * similarity / (1 + similarity)
-    flip, n = math.acos(cosine) / math.pi, 64 * words
-    distance = int(n * flip + 1.25 * math.sqrt(n * flip * (1 - flip)))
-    return _classes(df.select("doc_id", "text"), shingle, words, distance, lambda fps: sampled_keys(fps, words, tables, bits)).select("doc_id", "component_id")
+    base = checkpoint(_signatures(df, shingle, bands, rows))
+    sets = checkpoint(base.groupBy("id", "n").agg(F.min("doc_id").alias("least"), F.first("bands").alias("bands")))
+    keyed = sets.select("id", "n", F.posexplode("bands").alias("band", "value")).select(F.xxhash64("band", "value").alias("key"), "id", "n")
+    many = checkpoint(keyed.groupBy("key").agg(F.min(F.struct("id", "n")).alias("first"), F.count("*").alias("c")).where("c > 1"))
+    shared = checkpoint(keyed.join(sized(many, many.count()), "key"))
+    alike = lambda x, y: F.least(x, y) >= similarity * F.greatest(x, y) - 1e-9
+    tried = checkpoint(shared.where(F.col("id") != F.col("first.id")).where(alike(F.col("n"), F.col("first.n"))).select(F.col("first.id").alias("a"), F.col("id").alias("b")).distinct())
+    links = _verified(tried, df, shingle, similarity)
+    roots = components(links)
+    labelled = shared.join(roots, shared["id"] == roots["node"], "left").select("key", "id", "n", "c", F.coalesce("root", "id").alias("root"))
+    mixed = labelled.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
+    open_ = checkpoint(labelled.join(mixed, "key", "left_semi").withColumn("chunks", F.ceil(F.col("c") / CHUNK).cast("int")))
+    left = open_.select("key", F.col("id").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"), F.pmod("id", F.col("chunks").cast("long")).cast("int").alias("chunk"))
+    right = open_.select("key", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"))
+    rest = left.join(right, ["key", "chunk"]).where((F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & alike(F.col("na"), F.col("nb"))).select("a", "b").distinct()
+    rest = checkpoint(rest.join(tried, ["a", "b"], "left_anti"))
+    if not rest.isEmpty():
+        roots = components(links.unionByName(_verified(rest, df, shingle, similarity)))
+    linked = sets.join(roots, sets["id"] == roots["node"], "left").select("id", "least", F.coalesce("root", "id").alias("root"))
+    smallest = linked.groupBy("root").agg(F.min("least").alias("component_id"))
+    return base.join(linked.select("id", "root").join(smallest, "root").select("id", "component_id"), "id").select("doc_id", "component_id")

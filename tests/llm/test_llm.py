@@ -129,6 +129,35 @@ def test_similar_documents_share_a_component(spark):
     assert all(got[2 * k] == 2 * k for k in range(pairs))
 
 
+def test_similar_equals_exact_shingle_similarity(spark):
+    """Pairs on both sides of 0.8: all at or over it are linked and none under it, as brute force says; texts without a word are equal."""
+    rng = random.Random(10)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    docs = []
+    for k in range(150):
+        a = [word() for _ in range(200)]
+        b = list(a)
+        for i in rng.sample(range(200), 2 + k % 7):
+            b[i] = word()
+        docs += [(2 * k, " ".join(a)), (2 * k + 1, " ".join(b))]
+    docs += [(1000, None), (1001, " \n"), (1002, "one two"), (1003, "One  two"), (1003, "One  two"), (None, docs[0][1])]
+    grams = []
+    for _, t in docs:
+        w = (t or "").lower().split()
+        grams.append({tuple(w[i : i + 5]) for i in range(max(len(w) - 4, min(len(w), 1)))})
+    group = list(range(len(docs)))
+    for i, x in enumerate(grams):
+        for j, y in enumerate(grams[:i]):
+            if x == y or 5 * len(x & y) >= 4 * len(x | y):
+                group = [group[j] if g == group[i] else g for g in group]
+    least = defaultdict(list)
+    for (k, _), g in zip(docs, group, strict=True):
+        least[g] += [k] if k is not None else []
+    want = Counter((k, min(least[g])) for (k, _), g in zip(docs, group, strict=True))
+    assert Counter(map(tuple, simhash.similar(table(spark, docs)).collect())) == want
+    assert simhash.similar(table(spark, [])).count() == 0
+
+
 def slow_secrets(t):
     assign = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
     out = [(m.start(), 0, m.end(), "assign") for m in assign.finditer(t) if len(m[2]) >= 8]
