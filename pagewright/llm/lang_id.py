@@ -6,6 +6,8 @@ windows of WINDOW bytes, all of them scored; its probabilities are the mean of i
 
 from __future__ import annotations
 
+import random
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -20,6 +22,9 @@ FILTERS = 8
 SAMPLE_DOCS, SAMPLE_CHARS = 400, 1024
 STEPS, BATCH, SEED = 500, 64, 7
 UNDETERMINED = "und"
+#: First and last letters of the alphabets that texts to reject are drawn from, and the signs.
+ALPHABETS = ((0x61, 0x7A), (0x61, 0x7A), (0x100, 0x17F), (0x391, 0x3C9), (0x410, 0x44F), (0x5D0, 0x5EA), (0x621, 0x64A), (0x904, 0x939), (0xE01, 0xE2E), (0x3041, 0x30F6), (0x4E00, 0x9FA5), (0xAC00, 0xD7A3))
+SIGNS = "0123456789!\"#$%&'()*+,-./:;<=>?@[]^_{|}~"
 
 
 def _windows(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -136,6 +141,19 @@ def train(rows: list[tuple[str, str]]) -> ByteNetwork | None:
     return ByteNetwork(languages).fit(x[full], y[full])
 
 
+def rejects(many: int) -> list[tuple[str, str]]:
+    """Texts in no language, labelled UNDETERMINED: a third of signs and digits, the others of evenly drawn letters of one alphabet.
+
+    An alphabet of which a learned language makes use is drawn from as well: there, what is learned is that its letters come in no order.
+    """
+    rng, out = random.Random(SEED), []
+    for k in range(many):
+        a, b = ALPHABETS[k % len(ALPHABETS)]
+        draw = (lambda: rng.choice(SIGNS)) if k % 3 == 0 else lambda a=a, b=b: chr(rng.randint(a, b))
+        out.append((UNDETERMINED, " ".join("".join(draw() for _ in range(rng.randint(1, 10))) for _ in range(80))))
+    return out
+
+
 def predict(df: DataFrame, network: ByteNetwork | None, *keep: str, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
     """The columns `keep`, the language and its score (0 to 1) under `names`; `und` and 0 where the text is null or has no letter, or nothing was learned."""
     src = df.select(F.when(F.col("text").rlike(r"\p{L}"), F.col("text")).alias("pw__scanned"), *keep)

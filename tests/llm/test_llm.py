@@ -304,6 +304,20 @@ def test_language(spark, rows):
     assert [r.lang_pred for r in lang_id.identify(spark.createDataFrame([(1, "words", None)], "doc_id long, text string, lang string")).collect()] == ["und"]
 
 
+def test_language_stage_rejects_what_is_in_no_learned_language(spark):
+    import corpus_pipeline
+
+    rng = random.Random(1)
+    junk = ["%% 12 $$ 99 -- a " * 30, "#@!$ 0123 {}[] ;; ~~ x " * 20, "Это предложение написано на русском языке и его нельзя узнать. " * 6, "これは日本語の文章です。学習した言語ではありません。" * 6, "Αυτό είναι ένα κείμενο στα ελληνικά. " * 6, "12 %% a", '{"k": 12345, "v": [1, 2, 3]}']
+    junk.append("".join(rng.choice("abcdefghijklmnopqrstuvwxyz   ") for _ in range(500)))
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    clean = {r.doc_id for r in docs.where(r"text rlike '\\p{L}'").select("doc_id").collect()}
+    more = spark.createDataFrame([(10**9 + k, t) for k, t in enumerate(junk)], SCHEMA)
+    kept = corpus_pipeline.language(spark, docs.unionByName(more, allowMissingColumns=True), "")
+    ids = {r.doc_id for r in kept.select("doc_id").collect()}
+    assert ids == clean
+
+
 def distance(a, b):
     last = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
