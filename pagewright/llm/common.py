@@ -8,18 +8,21 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-#: Rows up to which a side of a join is broadcast; it is counted before, and a larger side is shuffled.
-BROADCAST_ROWS = 200_000
+#: Bytes up to which a side of a join is broadcast; they are summed before, and a larger side is shuffled.
+BROADCAST_BYTES = 32 << 20
 
 ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder driver and executors share: spark.checkpoint.dir, or a new one of our own where that is unset."""
+    """The folder driver and executors share: spark.checkpoint.dir, or, on a single machine where that is unset, a new one of our own."""
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not named:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         named = "file://" + tempfile.mkdtemp(prefix="pagewright-shared-")
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(named)
@@ -32,9 +35,21 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def sized(df: DataFrame, rows: int, most: int = BROADCAST_ROWS) -> DataFrame:
-    """Mark df for broadcast if its counted rows are few; beyond that the join shuffles."""
-    return F.broadcast(df) if rows <= most else df
+def _bytes(c, kind: T.DataType):
+    """About the bytes of a value."""
+    if isinstance(kind, T.StringType | T.BinaryType):
+        return F.coalesce(F.octet_length(c), F.lit(0)) + F.lit(16)
+    if isinstance(kind, T.StructType):
+        return sum((_bytes(c[f.name], f.dataType) for f in kind.fields), F.lit(8))
+    if isinstance(kind, T.ArrayType):
+        return F.coalesce(F.aggregate(c, F.lit(16).cast("long"), lambda acc, x: acc + _bytes(x, kind.elementType)), F.lit(16))
+    return F.lit(8)
+
+
+def sized(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
+    """Mark df, a checkpoint, for broadcast if its bytes are few; beyond that the join shuffles."""
+    width = sum((_bytes(F.col(f"`{f.name}`"), f.dataType) for f in df.schema.fields), F.lit(16))
+    return F.broadcast(df) if (df.agg(F.sum(width.cast("long"))).first()[0] or 0) <= most else df
 
 
 def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
@@ -121,6 +136,14 @@ def xxh64(data: np.ndarray, start: np.ndarray, length: np.ndarray, seed: int) ->
     return h
 
 
+def mixed(h: np.ndarray) -> np.ndarray:
+    """Words whose every bit depends on all bits of h's."""
+    with np.errstate(over="ignore"):
+        h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of (a long, b long): (node, root), root the smallest node; a root itself has no row.
 

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, components, grouped, sized, slices, xxh64
+from .common import checkpoint, components, grouped, mixed, sized, slices, xxh64
 
 SEED = 42
 #: Rows of a block's bucket compared in one task; a larger bucket is cut into such chunks, which are compared pair by pair.
@@ -30,17 +30,11 @@ def _bits(h: np.ndarray, cut: np.ndarray) -> np.ndarray:
     return out
 
 
-def _mix(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return h ^ (h >> np.uint64(31))
-
-
 def identity(fps: np.ndarray) -> np.ndarray:
     """One word for each row of fingerprint words: the word itself if there is one."""
     out = fps[:, 0]
     for k in range(1, fps.shape[1]):
-        out = _mix(out) ^ fps[:, k]
+        out = mixed(out) ^ fps[:, k]
     return out
 
 
@@ -80,7 +74,7 @@ def fingerprints(data: np.ndarray, offsets: np.ndarray, shingle: int, words: int
     docs, many = len(offsets) - 1, np.diff(cut)
     out = np.zeros((docs, words), np.uint64)
     for k in range(words):
-        x = h if k == 0 else _mix(h + np.uint64(k * 0x9E3779B97F4A7C15 % (1 << 64)))
+        x = h if k == 0 else mixed(h + np.uint64(k * 0x9E3779B97F4A7C15 % (1 << 64)))
         out[:, k] = np.packbits(_bits(x, cut) * 2 > many[:, None], axis=1, bitorder="little").view(np.uint64).ravel()
     return out
 
@@ -164,7 +158,7 @@ def hamming_links(rows: DataFrame, words: int, distance: int) -> DataFrame:
     hot = checkpoint(rows.groupBy("key").count().where(F.col("count") > CHUNK).select("key", F.ceil(F.col("count") / CHUNK).cast("int").alias("n")))
     n = hot.count()
     if n:
-        rows = rows.join(sized(hot, n), "key", "left").withColumn("n", F.coalesce("n", F.lit(1)))
+        rows = rows.join(sized(hot), "key", "left").withColumn("n", F.coalesce("n", F.lit(1)))
         rows = rows.withColumn("c", F.pmod(F.xxhash64(*names), F.col("n").cast("long")).cast("int"))
         rows = rows.select(*names, "key", "c", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("o"))
         rows = rows.select(*names, "key", F.least("c", "o").alias("i"), F.greatest("c", "o").alias("j"))
@@ -223,7 +217,7 @@ def _signatures(df: DataFrame, shingle: int, bands: int, rows: int) -> DataFrame
                 key = np.zeros((n, bands), np.uint64)
                 for k, a in enumerate(odd if len(full) else []):
                     low = np.minimum.reduceat(h * a, cut[:-1][full])
-                    key[full, k // rows] = _mix(key[full, k // rows] + low + np.uint64(k))
+                    key[full, k // rows] = mixed(key[full, k // rows] + low + np.uint64(k))
                 keys = pa.ListArray.from_arrays(pa.array(np.cumsum(np.concatenate([[0], np.where(np.diff(cut) > 0, bands, 0)])), pa.int32()), pa.array(key[full].ravel().view(np.int64)))
                 yield pa.RecordBatch.from_arrays([b.column(1).slice(at, n), pa.array(_set_ids(h, cut)), pa.array(np.diff(cut).astype(np.int64)), keys], ["doc_id", "id", "n", "bands"])
 
@@ -245,7 +239,7 @@ def _grams(df: DataFrame, shingle: int) -> DataFrame:
 def _verified(pairs: DataFrame, df: DataFrame, shingle: int, similarity: float) -> DataFrame:
     """The pairs (a, b) of sets whose exact Jaccard similarity is enough."""
     nodes = checkpoint(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
-    grams = checkpoint(_grams(df, shingle).join(sized(nodes, nodes.count()), "id", "left_semi").dropDuplicates(["id"]))
+    grams = checkpoint(_grams(df, shingle).join(sized(nodes), "id", "left_semi").dropDuplicates(["id"]))
     x, y = grams.select(F.col("id").alias("a"), F.col("grams").alias("x")), grams.select(F.col("id").alias("b"), F.col("grams").alias("y"))
     both = F.size(F.array_intersect("x", "y"))
     return checkpoint(pairs.join(x, "a").join(y, "b").where(both >= similarity * (F.size("x") + F.size("y") - both) - 1e-9).select("a", "b"))
@@ -263,7 +257,7 @@ def similar(df: DataFrame, shingle: int = 5, similarity: float = 0.8, bands: int
     sets = checkpoint(base.groupBy("id", "n").agg(F.min("doc_id").alias("least"), F.first("bands").alias("bands")))
     keyed = sets.select("id", "n", F.posexplode("bands").alias("band", "value")).select(F.xxhash64("band", "value").alias("key"), "id", "n")
     many = checkpoint(keyed.groupBy("key").agg(F.min(F.struct("id", "n")).alias("first"), F.count("*").alias("c")).where("c > 1"))
-    shared = checkpoint(keyed.join(sized(many, many.count()), "key"))
+    shared = checkpoint(keyed.join(sized(many), "key"))
     alike = lambda x, y: F.least(x, y) >= similarity * F.greatest(x, y) - 1e-9
     tried = checkpoint(shared.where(F.col("id") != F.col("first.id")).where(alike(F.col("n"), F.col("first.n"))).select(F.col("first.id").alias("a"), F.col("id").alias("b")).distinct())
     links = _verified(tried, df, shingle, similarity)
