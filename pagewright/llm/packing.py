@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import checkpoint, sized
-from .word_encoder import encoder
+from .word_encoder import encoder, text_slices
 
 
 def plan(counts: dict[int, int], capacity: int) -> list[tuple[list[int], int]]:
@@ -96,6 +96,17 @@ def places(patterns: list[tuple[list[int], int]]) -> dict[str, np.ndarray]:
     return {k: np.array([r[i] for r in rows], np.int64) for i, k in enumerate(("length", "rank", "sequence", "offset"))}
 
 
+def _ranks(values: np.ndarray, seen: np.ndarray) -> np.ndarray:
+    """How many equal values came before each one, those counted in `seen` included, which is brought up to date."""
+    order = np.argsort(values, kind="stable")
+    head = np.flatnonzero(np.diff(values[order], prepend=-1))
+    out = np.empty(len(values), np.int64)
+    out[order] = np.arange(len(values)) - np.repeat(head, np.diff(np.append(head, len(values))))
+    out += seen[values]
+    seen += np.bincount(values, minlength=len(seen))
+    return out
+
+
 def _pieces(capacity: int, path: str, end: int, ids: bool):
     names = ["doc_id", "piece", "start", "length", "ids_crc32", "part", "rank", *["ids"] * ids]
 
@@ -103,27 +114,26 @@ def _pieces(capacity: int, path: str, end: int, ids: bool):
         from pyspark import TaskContext
 
         enc, part = encoder(path), TaskContext.get().partitionId()
-        last, seen = array_end(end), np.zeros(capacity + 1, np.int64)
+        seen = np.zeros(capacity + 1, np.int64)
         for b in batches:
-            for at in range(0, b.num_rows, 512):
-                rows = []
-                for doc, text in zip(b.column(0).slice(at, 512).to_pylist(), b.column(1).slice(at, 512).to_pylist(), strict=True):
-                    tokens = np.frombuffer(enc.encode(text) + last, "<u2").astype("<u4")
-                    for piece, start in enumerate(range(0, len(tokens), capacity)):
-                        x = tokens[start : start + capacity]
-                        raw = x.tobytes()
-                        rows.append((doc, piece, start, len(x), zlib.crc32(raw), part, int(seen[len(x)]), *[x.tolist()] * ids))
-                        seen[len(x)] += 1
-                kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), *[pa.list_(pa.int64())] * ids]
-                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names)
+            for docs, texts in text_slices(b):
+                tokens, cut = enc.encode_all(texts, end)
+                many = -(-np.diff(cut) // capacity)
+                owner = np.repeat(np.arange(len(many)), many)
+                piece = np.arange(len(owner)) - np.repeat(np.cumsum(many) - many, many)
+                start = piece * capacity
+                first = cut[owner] + start
+                length = np.minimum(cut[owner + 1] - first, capacity)
+                raw = memoryview(tokens.astype("<u4")).cast("B")
+                crc = [zlib.crc32(raw[4 * a : 4 * (a + n)]) for a, n in zip(first.tolist(), length.tolist(), strict=True)]
+                columns = [docs.take(pa.array(owner)), pa.array(piece.astype(np.int32)), pa.array(start), pa.array(length), pa.array(crc, pa.int64()), pa.array(np.full(len(owner), part, np.int32)), pa.array(_ranks(length, seen))]
+                if ids:  # the pieces follow each other in `tokens`
+                    columns.append(pa.ListArray.from_arrays(pa.array(np.append(first, len(tokens)).astype(np.int32)), pa.array(tokens.astype(np.int32))))
+                yield pa.RecordBatch.from_arrays(columns, names)
 
     return run
 
 
-def array_end(end: int) -> bytes:
-    return np.array([end], "<u2").tobytes()
-
-
 def pack(df: DataFrame, path: str, capacity: int = 2048, end: int = 0, ids: bool = False) -> DataFrame:
     """Pieces of all documents with their sequence and place: doc_id, piece, start, length, ids_crc32, sequence_id, offset (and ids).
 
@@ -131,14 +141,14 @@ def pack(df: DataFrame, path: str, capacity: int = 2048, end: int = 0, ids: bool
     A null text is empty: one piece of the end id alone. Repeated rows are packed each; a null doc_id stays null.
     An empty table gives an empty result. Other columns are not read.
     """
-    kinds = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, rank long" + ", ids array<long>" * ids
+    kinds = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, rank long" + ", ids array<int>" * ids
     rows = checkpoint(df.select(F.col("doc_id").cast("long"), "text").mapInArrow(_pieces(capacity, path, end, ids), kinds))
     held = rows.groupBy("part", "length").agg(F.count("*").alias("n"))
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     held = checkpoint(held.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))))
     counts = {r["length"]: r["n"] for r in held.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # capacity rows at most
     table = df.sparkSession.sparkContext.broadcast(places(plan(counts, capacity)))
-    ranked = rows.join(sized(held.select("part", "length", "before"), held.count()), ["part", "length"]).withColumn("rank", F.col("rank") + F.col("before"))
+    ranked = rows.join(sized(held.select("part", "length", "before")), ["part", "length"]).withColumn("rank", F.col("rank") + F.col("before"))
     keep = ["doc_id", "piece", "start", "length", "ids_crc32", *["ids"] * ids]
 
     def run(batches):
@@ -151,5 +161,5 @@ def pack(df: DataFrame, path: str, capacity: int = 2048, end: int = 0, ids: bool
             k = np.searchsorted(key, n << 48 | r, "right") - 1
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(t["sequence"][k] + r - t["rank"][k]), pa.array(t["offset"][k])], [*keep, "sequence_id", "offset"])
 
-    out = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<long>" * ids + ", sequence_id long, offset long"
+    out = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * ids + ", sequence_id long, offset long"
     return ranked.select(*keep, "rank").mapInArrow(run, out)

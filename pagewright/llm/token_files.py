@@ -18,8 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import parts, shared_dir
-from .packing import array_end
-from .word_encoder import encoder
+from .word_encoder import encoder, text_slices
 
 #: Rows of a record batch.
 BATCH = 256
@@ -29,6 +28,9 @@ def schema(width: int) -> pa.Schema:
     return pa.schema([("ids", pa.list_(pa.uint16(), width)), ("mask", pa.list_(pa.bool_(), width))])
 
 
+INDEX = pa.schema([(x, pa.int64()) for x in ("doc_id", "start", "n_tokens")])
+
+
 def _open(folder: str):
     return fs.FileSystem.from_uri(folder)
 
@@ -48,20 +50,17 @@ class ShardWriter:
         self.to, self.tmp, self.width = f"{base}/{name}", f"{base}/_{name}-{uuid.uuid4().hex}", width
         self.out = self.fs.open_output_stream(f"{self.tmp}.ids")
         self.writer = ipc.new_file(self.out, schema(width))
-        self.held, self.size, self.total = [], 0, 0
-        self.index: list[tuple] = []
-
-    def add(self, doc_id, ids: bytes) -> None:
-        n = len(ids) // 2
-        self.index.append((doc_id, self.total, n))
-        self.held.append(ids)
-        self.size += n
-        self.total += n
-        if self.size >= BATCH * self.width:
-            self._flush(False)
-
-    def _flush(self, end: bool) -> None:
-        flat = np.frombuffer(b"".join(self.held), "<u2")
+        self.held, self.total = np.zeros(0, np.uint16), 0
+        self.index_out = self.fs.open_output_stream(f"{self.tmp}.index")
+        self.index = ipc.new_file(self.index_out, INDEX)
+
+    def add(self, doc_ids: pa.Array, ids: np.ndarray, cut: np.ndarray) -> None:
+        """Documents whose ids are ids[cut[i] : cut[i + 1]]; whole record batches are written at once."""
+        self.index.write_batch(pa.RecordBatch.from_arrays([doc_ids, pa.array(self.total + cut[:-1]), pa.array(np.diff(cut))], schema=INDEX))
+        self.total += len(ids)
+        self._flush(np.concatenate([self.held, ids]), False)
+
+    def _flush(self, flat: np.ndarray, end: bool) -> None:
         step = BATCH * self.width
         whole = len(flat) // step * step
         for at in range(0, whole, step):
@@ -69,17 +68,17 @@ class ShardWriter:
         rest = flat[whole:]
         if end and len(rest):
             self.writer.write_batch(_batch(np.pad(rest, (0, -len(rest) % self.width)), len(rest), self.width))
-        self.held, self.size = [rest.tobytes()], len(rest)
+        self.held = rest.copy()
 
     def close(self) -> None:
-        self._flush(True)
-        self.writer.close()
-        self.out.close()
-        table = pa.table({k: pa.array([r[i] for r in self.index], pa.int64()) for i, k in enumerate(("doc_id", "start", "n_tokens"))})
-        with self.fs.open_output_stream(f"{self.tmp}.index") as out, ipc.new_file(out, table.schema) as w:
-            w.write_table(table)
+        self._flush(self.held, True)
+        for x in (self.writer, self.out, self.index, self.index_out):
+            x.close()
         for kind in ("index", "ids"):
-            self.fs.move(f"{self.tmp}.{kind}", f"{self.to}.{kind}.arrow")
+            to = f"{self.to}.{kind}.arrow"
+            if self.fs.get_file_info(to).type != fs.FileType.NotFound:
+                self.fs.delete_file(to)  # by an attempt of this task that was lost later: the same bytes, and some stores do not move onto a file
+            self.fs.move(f"{self.tmp}.{kind}", to)
 
 
 class ShardReader:
@@ -90,8 +89,7 @@ class ShardReader:
         path = f"{base}/{name}.ids.arrow"
         self.source = pa.memory_map(path) if isinstance(self.fs, fs.LocalFileSystem) else self.fs.open_input_file(path)
         self.file = ipc.open_file(self.source)
-        with self.fs.open_input_file(f"{base}/{name}.index.arrow") as f:
-            self.index = ipc.open_file(f).read_all()
+        self.index = f"{base}/{name}.index.arrow"
         self.width = self.file.schema.field("ids").type.list_size
 
     def _row(self, column: str, r: int):
@@ -104,21 +102,21 @@ class ShardReader:
         return self._row("mask", r).to_numpy(zero_copy_only=False)
 
     def documents(self):
-        """(doc_id, start, ids) of every document, with one batch and one document in memory."""
-        rows = zip(*(self.index[c].to_pylist() for c in ("doc_id", "start", "n_tokens")), strict=True)
+        """(doc_id, start, ids) of every document, with one batch of the index and of ids and one document in memory."""
         held, first, k = np.zeros(0, np.uint16), 0, 0
-        for doc_id, start, n in rows:
-            got = [held[start - first :]]
-            have = len(got[0])
-            first = start
-            while have < n:
-                b = self.file.get_batch(k)
-                k += 1
-                x = b.column("ids").values.to_numpy()
-                got.append(x)
-                have += len(x)
-            held = np.concatenate(got) if len(got) > 1 else got[0]
-            yield doc_id, start, held[:n]
+        with self.fs.open_input_file(self.index) as f:
+            index = ipc.open_file(f)
+            for i in range(index.num_record_batches):
+                for doc_id, start, n in zip(*(c.to_pylist() for c in index.get_batch(i).columns), strict=True):
+                    have = len(held) - (start - first)
+                    if have < n:
+                        got = [held[start - first :]]
+                        while have < n:
+                            got.append(self.file.get_batch(k).column("ids").values.to_numpy())
+                            have += len(got[-1])
+                            k += 1
+                        held, first = np.concatenate(got), start
+                    yield doc_id, start, held[start - first : start - first + n]
 
 
 def write(df: DataFrame, folder: str, path: str, end: int = 2, width: int = 2048) -> list[tuple[str, int]]:
@@ -127,13 +125,12 @@ def write(df: DataFrame, folder: str, path: str, end: int = 2, width: int = 2048
     def run(batches):
         from pyspark import TaskContext
 
-        enc, name, last = encoder(path), f"shard-{TaskContext.get().partitionId():06d}", array_end(end)
+        enc, name = encoder(path), f"shard-{TaskContext.get().partitionId():06d}"
         out = None
         for b in batches:
-            out = out or (ShardWriter(folder, name, width) if b.num_rows else None)
-            for at in range(0, b.num_rows, 512):
-                for doc, text in zip(b.column(0).slice(at, 512).to_pylist(), b.column(1).slice(at, 512).to_pylist(), strict=True):
-                    out.add(doc, enc.encode(text) + last)
+            for docs, texts in text_slices(b):
+                out = out or ShardWriter(folder, name, width)
+                out.add(docs, *enc.encode_all(texts, end))
         if out:
             out.close()
             yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([out.total], pa.int64())], ["shard", "n"])
