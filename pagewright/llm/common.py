@@ -35,6 +35,19 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release(*frames: DataFrame) -> None:
+    """Delete the files of checkpoints that nothing to come reads again: all that was made of them is a checkpoint itself."""
+    for df in frames:
+        name = df._jdf.queryExecution().logical().rdd().getCheckpointFile()
+        if name.isDefined():
+            remove(df.sparkSession, name.get())
+
+
+def remove(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def _bytes(c, kind: T.DataType):
     """About the bytes of a value."""
     if isinstance(kind, T.StringType | T.BinaryType):
