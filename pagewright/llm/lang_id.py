@@ -13,13 +13,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import checkpoint, slices
 
 WINDOW = 256
 WIDTHS = (2, 3, 4)
 FILTERS = 8
-#: The sample that is learned from: documents a language, and characters of each from its start.
-SAMPLE_DOCS, SAMPLE_CHARS = 400, 1024
+#: The sample that is learned from: documents a language, characters of each from a place that its id says, and languages (those with most documents in the sample).
+SAMPLE_DOCS, SAMPLE_CHARS, LANGUAGES = 400, 1024, 100
 STEPS, BATCH, SEED = 500, 64, 7
 UNDETERMINED = "und"
 #: First and last letters of the alphabets that texts to reject are drawn from, and the signs.
@@ -115,17 +115,17 @@ def held_out(doc_id: str = "doc_id"):
 
 
 def sample(df: DataFrame) -> list[tuple[str, str]]:
-    """(lang, text) of SAMPLE_DOCS documents a language at most, those with the smallest hashes of their ids."""
+    """(lang, text) of SAMPLE_DOCS documents a language at most, those with the smallest hashes of their ids, of LANGUAGES languages at most.
+
+    Only rows that can be learned from count: neither held-out documents' labels nor texts without a letter are looked at.
+    """
     rows = df.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out() & F.col("text").rlike(r"\p{L}"))
-    share = {r["lang"]: r["n"] for r in df.where("lang is not null").groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a row a language
-    if not share:
-        return []
-    most = F.create_map(*[x for k, n in share.items() for x in (F.lit(k), F.lit(min(1.0, 4.0 * SAMPLE_DOCS / n)))])
-    hashed = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) / 1_000_000
-    rows = rows.where(hashed < most[F.col("lang")])  # about 8/3 of the sample; it only spares the sort
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    rows = rows.select("lang", "doc_id", F.substring("text", 1, SAMPLE_CHARS).alias("text")).withColumn("r", F.row_number().over(order)).where(F.col("r") <= SAMPLE_DOCS)
-    return [(r["lang"], r["text"]) for r in sorted(rows.collect(), key=lambda r: (r["lang"], r["r"]))]
+    start = F.pmod(F.xxhash64(F.lit(SEED), "doc_id"), F.greatest(F.length("text") - SAMPLE_CHARS, F.lit(0)) + 1) + 1
+    rows = rows.select("lang", "doc_id", F.substring("text", start.cast("int"), F.lit(SAMPLE_CHARS)).alias("text")).withColumn("r", F.row_number().over(order)).where(F.col("r") <= SAMPLE_DOCS)
+    rows = checkpoint(rows)
+    known = [r["lang"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()]
+    return [(r["lang"], r["text"]) for r in sorted(rows.where(F.col("lang").isin(known)).collect(), key=lambda r: (r["lang"], r["r"]))] if known else []
 
 
 def train(rows: list[tuple[str, str]]) -> ByteNetwork | None:
