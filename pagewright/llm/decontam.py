@@ -1,4 +1,4 @@
-"""Benchmark decontamination with DataFrame functions alone: test n-grams against windows of the documents' words."""
+"""Benchmark decontamination with DataFrame functions alone: the windows of documents against a hash set of test n-grams."""
 
 from __future__ import annotations
 
@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from .common import ASCII_UPPER, checkpoint, sized
 
-#: Distinct anchor words up to which the scan tests words against a literal hash set before the join; beyond it the join alone does.
-ANCHORS = 20_000
+#: Bytes of the hash set of windows up to which it is broadcast, over ten million windows; beyond it the windows of the documents are shuffled.
+SET_BYTES = 512 << 20
 
 # Words are what remains between these, before and after A-Z are lower-cased.
 _CUT = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -22,43 +22,43 @@ def _words(c):
     return F.array_remove(F.split(F.coalesce(c, F.lit("")), _CUT), "")
 
 
+def _hashes(w: str, hashed: str, n: int):
+    """The hash of each window of n words, from the words' own hashes."""
+    last = F.size(w) - n + 1
+    return F.when(last > 0, F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.xxhash64(F.slice(hashed, i, n)))).otherwise(F.array().cast("array<bigint>"))
+
+
 def windows(benchmark: DataFrame, n: int) -> DataFrame:
-    """item_id, anchor (a window's longest word), before (words before it) and gram (the window, joined by spaces)."""
+    """One row a distinct window: n (its words), gram (joined by spaces), hash and items, the items that have it, in order."""
     items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), _words(_lower(F.col("text"))).alias("w"))
     size = F.size("w")
     all_of = F.when(size >= n, F.transform(F.sequence(F.lit(1), F.greatest(size - n + 1, F.lit(1))), lambda i: F.slice("w", i, n))).when(size > 0, F.array("w"))
-    grams = items.select("item_id", F.explode(all_of).alias("g"))
-    longest = F.array_max(F.transform("g", F.length))
-    at = F.array_position(F.transform("g", F.length), longest)
-    return grams.select("item_id", F.element_at("g", at.cast("int")).alias("anchor"), (at - 1).cast("int").alias("before"), F.size("g").alias("n"), F.array_join("g", " ").alias("gram")).distinct()
+    grams = items.select("item_id", F.explode(all_of).alias("g")).groupBy("g").agg(F.array_sort(F.collect_set("item_id")).alias("items"))
+    return grams.select(F.size("g").alias("n"), F.array_join("g", " ").alias("gram"), F.xxhash64(F.transform("g", lambda x: F.xxhash64(x))).alias("hash"), "items")
 
 
 def hits(df: DataFrame, benchmark: DataFrame, n: int = 10) -> DataFrame:
     """One row a document: doc_id, h (its text's hash), n_words, copies (equal rows), spans (array<struct<first, n>> of words, from 1), items.
 
-    A window is n consecutive words of an item, or all of a shorter item. Each document word that equals a
-    window's longest word is a candidate, and the window's words are compared around it in the join.
+    A window is n consecutive words of an item, or all of a shorter item. Every window of a document is hashed and
+    looked up in the set of the items' windows; a hash that is there is verified word for word.
     """
     grams = checkpoint(windows(benchmark, n))
-    rows = grams.count()
-    words = df.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("h"), _words(F.col("text")).alias("w"))
-    places = F.sequence(F.lit(1), F.size("w"))
-    anchors = grams.select(F.lower("anchor").alias("anchor")).distinct().limit(ANCHORS + 1).collect()
-    if len(anchors) <= ANCHORS:
-        known = ", ".join(f"'{r['anchor']}'" for r in anchors) or "NULL"  # words hold no quotes or backslashes
-        places = F.expr(f"filter(sequence(1, size(w)), p -> coalesce(lower(w[p - 1]) IN ({known}), false))")
-    places = F.when(F.size("w") > 0, places).otherwise(F.array().cast("array<int>"))
-    around = lambda p: F.struct(p.alias("p"), _lower(F.element_at("w", p)).alias("anchor"), F.greatest(p - n + 1, F.lit(1)).alias("from"), F.transform(F.slice("w", F.greatest(p - n + 1, F.lit(1)), 2 * n - 1), _lower).alias("near"))
-    head = F.struct(F.lit(0).alias("p"), F.lit(None).cast("string").alias("anchor"), F.lit(0).alias("from"), F.lit(None).cast("array<string>").alias("near"))
-    near = words.select("doc_id", "h", F.size("w").cast("long").alias("n_words"), places.alias("places"), "w")
-    near = near.select("doc_id", "h", "n_words", F.explode(F.concat(F.array(head), F.transform("places", around))).alias("c")).select("doc_id", "h", "n_words", "c.*")
-    first = F.col("p") - F.col("before")
-    same = (first >= 1) & (F.array_join(F.slice("near", F.greatest(first - F.col("from") + 1, F.lit(1)), F.col("n")), " ") == F.col("gram"))
-    found = near.alias("d").join(sized(grams, rows).alias("b"), (F.col("d.anchor") == F.col("b.anchor")) & same, "left")
-    span = F.when(F.col("gram").isNotNull(), F.struct(first.alias("first"), F.col("n")))
+    sizes = sorted(r["n"] for r in grams.select("n").distinct().collect()) or [n]  # n values at most
+    docs = df.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("h"), _words(_lower(F.col("text"))).alias("w"))
+    docs = docs.withColumn("hashed", F.transform("w", lambda x: F.xxhash64(x)))
+    head = F.array(F.lit(None).cast("bigint"))  # a row of each document's own, which equals nothing
+    rows = docs.select("doc_id", "h", "w", F.size("w").alias("n_words"), F.posexplode(F.concat(head, *[_hashes("w", "hashed", m) for m in sizes])).alias("place", "hash"))
+    before, first = F.lit(0), F.lit(None).cast("int")
+    for m in sizes:
+        first = F.when(F.col("n") == m, F.col("place") - before).otherwise(first)
+        before = before + F.greatest(F.col("n_words") - (m - 1), F.lit(0))
+    same = (rows["hash"] == grams["hash"]) & (F.array_join(F.slice("w", F.greatest(first, F.lit(1)), F.col("n")), " ") == F.col("gram"))
+    found = rows.join(sized(grams, SET_BYTES), same, "left").where((F.col("place") == 0) | F.col("gram").isNotNull())
+    span = F.when(F.col("gram").isNotNull(), F.struct(first.alias("first"), "n"))
     return (
-        found.groupBy("doc_id", "h", "n_words")
-        .agg(F.count_if((F.col("p") == 0)).alias("copies"), F.collect_set(span).alias("spans"), F.collect_set(F.when(F.col("gram").isNotNull(), F.col("item_id"))).alias("items"))
+        found.groupBy("doc_id", "h", F.col("n_words").cast("long").alias("n_words"))
+        .agg(F.count_if(F.col("place") == 0).alias("copies"), F.collect_set(span).alias("spans"), F.array_distinct(F.flatten(F.collect_set("items"))).alias("items"))
     )
 
 
@@ -80,13 +80,12 @@ def remove(df: DataFrame, benchmark: DataFrame, n: int = 10, whole: bool = True)
     All columns stay as they are. A null text is kept.
     """
     found = checkpoint(hits(df, benchmark, n).where(F.size("spans") > 0).select(F.col("doc_id").alias("pw__id"), F.col("h").alias("pw__h"), F.col("spans").alias("pw__spans")))
-    many = found.count()
     here = F.col("doc_id").cast("long").eqNullSafe(F.col("pw__id")) & (F.xxhash64("text") == F.col("pw__h"))
     if whole:
-        return df.join(sized(found.drop("pw__spans"), many), here, "left_anti")
+        return df.join(sized(found.drop("pw__spans")), here, "left_anti")
     # The words and what lies between them alternate; a hit word and what follows it go.
     hit = F.array_distinct(F.flatten(F.transform("pw__spans", lambda s: F.sequence(s["first"], s["first"] + s["n"] - 1))))
-    joined = df.join(sized(found, many), here, "left")
+    joined = df.join(sized(found), here, "left")
     pieces = joined.withColumn("pw__hit", hit).withColumn("pw__w", F.regexp_extract_all("text", F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+" + r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*"), F.lit(0)))
     kept = F.array_join(F.filter("pw__w", lambda x, i: ~F.array_contains("pw__hit", i + 1)), "")
     lead = F.regexp_extract("text", "^" + _CUT, 0)
