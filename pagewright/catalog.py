@@ -7,6 +7,7 @@ SQL over named relations, which Spark plans as temporary views and the other eng
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,6 +20,9 @@ SAID: dict[str, str] = {}
 #: Derived relations by name: portable SQL that names base tables and other relations in braces.
 RELATIONS: dict[str, str] = {}
 
+#: How Spark makes a relation where that is not the text the other engine runs.
+NATIVE: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+
 _BRACED = re.compile(r"\{(\w+)\}")
 
 
@@ -31,22 +35,34 @@ def relation(name: str, sql: str) -> None:
     RELATIONS[name] = sql
 
 
+def native(name: str):
+    """Register a function that makes a relation in Spark; the other engine makes it from the relation's text."""
+
+    def register(f: Callable[[SparkSession, str], DataFrame]):
+        NATIVE[name] = f
+        return f
+
+    return register
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A base table or a derived relation."""
     if name in BASE:
         return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    if name in NATIVE:
+        return NATIVE[name](spark, sf_dir)
     return spark.sql(_spark_sql(spark, sf_dir, RELATIONS[name]))
 
 
 def _view(spark: SparkSession, sf_dir: str, name: str) -> str:
-    view = f"pw_{name}_{abs(hash(sf_dir)):x}"
+    view = f"pw_{name}_{zlib.crc32(sf_dir.encode()):x}"
     table(spark, sf_dir, name).createOrReplaceTempView(view)
     return view
 
 
 def _spark_sql(spark: SparkSession, sf_dir: str, sql: str) -> str:
     views = {n: _view(spark, sf_dir, n) for n in _named(sql)}
-    return _calls(_BRACED.sub(lambda m: views.get(m[1], m[0]), sql), {"rx_replace": ("regexp_replace", ""), "hex_sha256": ("sha2", ", 256"), "matches": ("regexp_like", ""), "elements": ("explode", ""), "array_length": ("size", ""), "cut": ("split", ""), "rank_text": ("string", "")})
+    return _calls(_BRACED.sub(lambda m: views.get(m[1], m[0]), sql), {"rx_replace": ("regexp_replace", ""), "hex_sha256": ("sha2", ", 256"), "matches": ("regexp_like", ""), "elements": ("explode", ""), "array_length": ("size", ""), "cut": ("split", ""), "distinct_of": ("array_distinct", "")})
 
 
 def _calls(sql: str, names: dict[str, tuple[str, str]]) -> str:
@@ -80,7 +96,7 @@ def other_sql(sql: str) -> str:
         ctes = ",\n".join(f"{n} as ({plain(RELATIONS[n]).strip()})" for n in needed)
         own = re.match(r"with\s+(recursive\s+)?", body)
         body = f"with {own[1] or ''}{ctes},\n{body[own.end() :]}" if own else f"with {ctes}\n{body}"
-    return _calls(body, {"rx_replace": ("regexp_replace", ", 'g'"), "hex_sha256": ("sha256", ""), "matches": ("regexp_matches", ""), "elements": ("unnest", ""), "array_length": ("len", ""), "cut": ("string_split", "")})
+    return _calls(body, {"rx_replace": ("regexp_replace", ", 'g'"), "hex_sha256": ("sha256", ""), "matches": ("regexp_matches", ""), "elements": ("unnest", ""), "array_length": ("len", ""), "cut": ("string_split", ""), "distinct_of": ("list_distinct", "")})
 
 
 def query(name: str, sql: str | None = None):
