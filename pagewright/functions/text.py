@@ -75,6 +75,11 @@ def guarded(field: Column) -> Column:
     return F.when(field.rlike(r"^[=+\-@\t\r]"), F.concat(F.lit("'"), field)).otherwise(field)
 
 
+def unguarded(field: Column) -> Column:
+    """What guarded() was given."""
+    return F.when(field.rlike(r"^'[=+\-@\t\r]"), F.substring(field, 2, 1 << 30)).otherwise(field)
+
+
 def csv_line(delimiter: str, *fields: Column) -> Column:
     out = []
     for f in fields:

@@ -8,6 +8,8 @@ from ..catalog import portable, query, relation, table
 
 # Fixed value: a resource on this share of the pages or more is part of the baseline.
 BASELINE = 0.9
+#: Fixed value: pages a script reaches beyond which it is scanned in bulk.
+ROUTED = 5
 
 relation(
     "bloat",
@@ -20,17 +22,13 @@ relation("data_uris", r"select page_id, media, encoded from (select page_id, reg
 portable("a6_page_bloat", "select page_id, refs, total, js, css, large_js, large_css from {bloat}")
 portable("a7_baseline", "select refs, total, js, css from {baseline}")
 portable("w7_over_baseline", "select b.page_id, b.total - s.total as extra, b.js - s.js as extra_js, b.css - s.css as extra_css from {bloat} b cross join {baseline} s where b.total > 2 * s.total")
-portable("q25_bloat_issues", "select page_id, 'OVERSIZED_JS' as issue_type, large_js as n from {bloat} where large_js > 0 union all select page_id, 'OVERSIZED_CSS', large_css from {bloat} where large_css > 0")
-portable("a8_frequent_assets", "select asset_id, n, n * 1.0e0 / pages as share from (select asset_id, count(distinct page_id) as n from {page_refs} group by asset_id) a cross join (select count(distinct page_id) as pages from {page_refs}) p where n * 400 >= pages")
-portable("a11_routing", "select url, pages, case when pages > 30 then 'BULK' else 'CLEAR' end as route from (select a.url, count(distinct r.page_id) as pages from {assets} a join {page_refs} r on r.asset_id = a.asset_id where a.ext = '.js' group by a.url) t")
+portable("a8_frequent_assets", "select asset_id, n, n * 1.0e0 / pages as share from (select asset_id, count(distinct page_id) as n from {page_refs} group by asset_id) a cross join (select count(distinct page_id) as pages from {page_refs}) p where n * 10 >= pages * 9")
+portable("a11_routing", "select url, pages, case when pages > " + str(ROUTED) + " then 'BULK' else 'CLEAR' end as route from (select a.url, count(distinct r.page_id) as pages from {assets} a join {page_refs} r on r.asset_id = a.asset_id where a.ext = '.js' group by a.url) t")
 portable("b1_data_uris", "select page_id, media, cast(length(encoded) as bigint) as encoded_bytes, cast(length(encoded) / 4 * 3 as bigint) as decoded_bytes from {data_uris}".replace("length(encoded) / 4 * 3", "floor(length(encoded) / 4) * 3"))
-portable("b2_image_sizes", "select asset_id, case when asset_id % 10 = 0 then 'CONTENT_LENGTH_MISMATCH' when bytes > 1048576 then 'OVERSIZED_IMAGE' else 'ok' end as verdict from {assets}")
 portable("k13_stripped_source", r"select page_id, rx_replace(concat('a:url(data:image/png;base64,', encoded, ')'), r'data:[a-z/]+;base64,[A-Za-z0-9+/=]+', concat('/* BASE64_STRIPPED:', page_id, ' */')) as css from {data_uris}")
 portable("o4_largest_assets", "select page_id, asset_id, bytes, r from (select r.page_id, r.asset_id, a.bytes, cast(row_number() over (partition by r.page_id order by a.bytes desc, r.asset_id) as bigint) as r from {page_refs} r join {assets} a on a.asset_id = r.asset_id) t where r <= 5")
 portable("w5_asset_names", "select page_id, concat(page_id, '__', row_number() over (partition by page_id order by encoded), '.png') as name from {data_uris}")
-portable("w4_script_ordinals", "select page_id, concat('#', r) as ordinal, src from (select page_id, src, row_number() over (partition by page_id order by src) as r from (select distinct page_id, elements(regexp_extract_all(html, r'<script>([^<]*)', 1)) as src from {pages}) t) u")
 portable("x2_embedded_urls", r"select page_id, count(*) as n, min(u) as first from (select page_id, elements(regexp_extract_all(html, r'(?:src|href|action)=\x22(/[^\x22]{2,}|https?://[^\x22]+)\x22', 1)) as u from {pages_x}) t group by page_id")
-portable("x3_css_urls", r"select asset_id, u from (select asset_id, elements(regexp_extract_all(concat('a{b:url(', url, ')} c{d:url(data:x)}'), r'url\(([^)]*)\)', 1)) as u from {assets}) t where not u like 'data:%'")
 
 
 @query("o4_more_than_five", "with t as (select r.page_id, a.bytes, row_number() over (partition by r.page_id order by a.bytes desc, r.asset_id) as k from {page_refs} r join {assets} a on a.asset_id = r.asset_id) select page_id, count(*) as more, cast(sum(bytes) as bigint) as bytes from t where k > 5 group by page_id")

@@ -19,16 +19,9 @@ relation(
     case when lower(header) like 'application/pdf%' then 'pdf' when lower(header) like 'image/%' then 'image' when lower(header) like 'text/html%' then 'html' else 'unknown' end as by_header,
     case when head like '%PDF-%' then 'pdf' when matches(head, '^(89504E47|FFD8FF|47494638|52494646)') then 'image' when matches(head, r'(?i)<!doctype html|<html|<head|<body') then 'html' else 'unknown' end as by_bytes from {file_signals}""",
 )
-portable("f10_file_types", "select page_id, case when by_name = by_header and by_header = by_bytes then by_name when by_bytes <> 'unknown' then by_bytes when by_header <> 'unknown' then by_header else 'quarantine' end as kind, not (by_name = by_header and by_header = by_bytes) as mismatch from {file_votes}")
 portable("f11_content_types", "select page_id, lower(split_part(header, ';', 1)) in ('text/html', 'application/xhtml+xml') as html, lower(header) = 'application/pdf' as pdf, lower(header) like 'image/%' as image from {file_signals}")
-portable("f12_sniffed", "select by_bytes, count(*) as n from {file_votes} group by by_bytes")
 portable("f14_settled", "select by_name, by_header, by_bytes, count(*) as n, case when by_name = by_bytes then 'settled' else 'renamed' end as outcome from {file_votes} group by by_name, by_header, by_bytes")
-portable("s10_request_url", r"select page_id, regexp_extract(concat('GET ', url, ' HTTP/1.1'), r'^GET ([^ ]+)', 1) as requested from {pages}")
-portable("x37_http_dates", "select event_id, cast(substring(cast(ts as varchar(30)), 9, 2) as int) as day, cast(substring(cast(ts as varchar(30)), 12, 2) as int) as hour from {events}")
-portable("x42_gps", "select event_id, round(case when event_id % 2 = 0 then -1.0e0 else 1.0e0 end * (event_id % 90 + (event_id % 60) / 60.0e0 + (event_id % 59) / 3600.0e0), 9) as lat from {events}")
-portable("x43_cookie_names", r"select user_id, count(distinct name) as names, min(name) as first from (select user_id, regexp_extract(concat('Set-Cookie: ', event_type, '=', event_id, '; Path=/'), r'Set-Cookie: ([^=]+)=', 1) as name from {events}) t group by user_id")
 portable("x44_extracted_tokens", r"select event_id, regexp_extract(props, r'\x22k\x22: ([0-9]+)', 1) as k from {events}")
-portable("b3_dimensions", "select page_id, w, h, case when w <= 1 or h <= 1 then 'DEGENERATE' when w > 5000 or h > 5000 then 'HUGE' else 'ok' end as verdict from (select page_id, page_id % 7000 * 3 as w, page_id % 50 as h from {pages}) t")
 relation("pdfs", r"select page_id, concat('%PDF-1.7', case page_id % 3 when 0 then ' /Title (A title)' else '' end, case page_id % 2 when 0 then ' /Lang (en)' else '' end, case page_id % 5 when 0 then ' /MarkInfo << /Marked true >> /StructTreeRoot 4 0 R' else '' end, case page_id % 7 when 0 then ' /Outlines 5 0 R' else '' end) as body from {pages}")
 relation("pdf_markers", r"select page_id, regexp_extract(body, r'/Title \(([^)]*)\)', 1) as title, regexp_extract(body, r'/Lang \(([^)]*)\)', 1) as lang, case when body like '%/Marked true%' then 1 else 0 end as tagged, case when body like '%/StructTreeRoot%' then 1 else 0 end as struct_tree, case when body like '%/Outlines%' then 1 else 0 end as outlines from {pdfs}")
 portable("b9_pdf_markers", "select page_id, title, lang, tagged, struct_tree, outlines from {pdf_markers}")

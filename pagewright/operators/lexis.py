@@ -10,30 +10,30 @@ from ..catalog import portable, query, relation, table
 PROSE = 0.4
 
 relation("misses", "select t.doc_id, t.lang, t.word from {tokens} t left join {lexicon} l on l.lang = t.lang and l.word = t.word where l.word is null")
-relation("line_tokens", r"select doc_id, lang, line, elements(regexp_extract_all(lower(line), r'(\p{L}+)', 1)) as word from {runs} where length(line) between 1 and 200")
-relation("everywhere_missing", "select m.doc_id, m.lang, m.word from {misses} m left join (select distinct word from {lexicon}) l on l.word = m.word where l.word is null")
+relation("line_tokens", r"select doc_id, lang, line, elements(regexp_extract_all(lower(line), r'(\p{L}+)', 1)) as word from {runs}")
+relation("everywhere_missing", "select t.doc_id, t.lang, t.word from {tokens} t left join (select distinct word from {lexicon}) l on l.word = t.word where l.word is null")
 
-portable("l3_misspellings", "select lang, count(*) as n, count(distinct word) as words from {misses} group by lang")
+# The words that users write: the other corpus, against which the lexicon is audited.
+relation("heard", r"select 'en' as lang, elements(distinct_of(regexp_extract_all(lower(text), r'([\p{L}]+)', 1))) as word from {conversations}")
+
+portable("l3_misspellings", "select c.lang, cast(sum(c.n) as bigint) as n, count(*) as words from (select lang, word, count(*) as n from {tokens} group by lang, word) c left join {lexicon} l on l.lang = c.lang and l.word = c.word where l.word is null group by c.lang")
 portable("l4_any_bundle", "select t.doc_id, count(*) as known from {tokens} t join (select distinct word from {lexicon}) l on l.word = t.word group by t.doc_id")
 portable("u5_wrong_in_all_languages", "select doc_id, count(*) as n from {everywhere_missing} group by doc_id")
 portable("l5_stem_candidates", "select m.lang, m.word, min(l.word) as stem from {misses} m join {lexicon} l on l.lang = m.lang and l.word in (substring(m.word, 1, length(m.word) - 1), substring(m.word, 1, length(m.word) - 2), concat(m.word, 's')) where length(m.word) >= 5 group by m.lang, m.word".replace("join {lexicon} l on l.lang = m.lang and l.word in (substring(m.word, 1, length(m.word) - 1), substring(m.word, 1, length(m.word) - 2), concat(m.word, 's')) where length(m.word) >= 5", "join (select lang, word, cand from (select distinct lang, word, substring(word, 1, length(word) - 1) as cand from {misses} where length(word) >= 5 union select lang, word, substring(word, 1, length(word) - 2) from {misses} where length(word) >= 5 union select lang, word, concat(word, 's') from {misses} where length(word) >= 5) u) c on c.lang = m.lang and c.word = m.word join {lexicon} l on l.lang = c.lang and l.word = c.cand"))
-portable("a1_word_tickets", "select doc_id, lang, count(*) as words, min(word) as first, max(word) as last from {misses} group by doc_id, lang")
 portable("a9_prose_gate", "select doc_id, line, n, missing from (select t.doc_id, t.line, count(*) as n, count(case when l.word is null then 1 end) as missing from {line_tokens} t left join {lexicon} l on l.lang = t.lang and l.word = t.word group by t.doc_id, t.line) x where missing * 10 < n * 4")
 portable("a10_literal_spread", "select lower(trim(line)) as literal, count(distinct doc_id) as docs, case when count(distinct doc_id) >= 10 then 'site' when count(distinct doc_id) >= 2 then 'some' else 'one' end as tier from {runs} where length(trim(line)) >= 10 group by lower(trim(line)) having count(distinct doc_id) >= 2")
 portable("k10_unique_view", "select distinct word from {everywhere_missing}")
 portable("k10_sources_view", "select word, count(distinct doc_id) as sources, min(doc_id) as first_source from {everywhere_missing} group by word having count(distinct doc_id) > 1")
-portable("a19_unused_words", "select l.lang, count(*) as n from {lexicon} l left join (select distinct lang, word from {tokens} where doc_id % 2 = 0) t on t.lang = l.lang and t.word = l.word where t.word is null group by l.lang")
-portable("a20_dictionary_audit", "select l.lang, l.word from {lexicon} l left join (select distinct word from {line_tokens}) t on t.word = l.word where t.word is null")
+portable("a19_unused_words", "select l.lang, count(*) as n from {lexicon} l left join (select distinct lang, word from {heard}) t on t.lang = l.lang and t.word = l.word where t.word is null group by l.lang")
+portable("a20_dictionary_audit", "select l.lang, l.word from {lexicon} l left join (select distinct word from {heard}) t on t.word = l.word where t.word is null")
 portable("u2_in_both", "select word from {lexicon} where lang = 'en' intersect select word from {lexicon} where lang = 'fr'")
 portable("u3_only_in_one", "select word from {lexicon} where lang = 'de' except select word from {lexicon} where lang = 'en'")
 portable("u1_all_findings", "select 'word' as kind, count(*) as n from {everywhere_missing} union all select 'redirect', count(*) from {redirects} union all select 'seo', count(*) from {seo_fields} union all select 'quality', count(*) from {all_findings}")
-portable("o5_ordered_words", "select word, r from (select word, cast(row_number() over (partition by lang order by word) as bigint) as r from {lexicon}) t where r <= 20")
+portable("o5_ordered_words", "select word, r from (select word, cast(row_number() over (partition by lang order by lower(word), word) as bigint) as r from {lexicon}) t")
 portable("l7_rule_names", "select rule, count(*) as n from (select case when length(word) < 3 then 'short' when word like '%tion' then 'suffix' when word like '%th%' then 'collision' else 'kept' end as rule from {misses}) t group by rule")
-portable("l20_collapsed_tickets", "select source, ticket, count(*) as n from (select d.source, case when m.word like 'th%' then 'Lorem' else m.word end as ticket from {everywhere_missing} m join {documents} d on d.doc_id = m.doc_id where m.doc_id % 5 = 0) t group by source, ticket having count(*) > 1")
-portable("l22_integrity", "select lang, hex_sha256(concat(lang, min(word), max(word), count(*))) as digest, case when count(*) > 1000 then 'Pass' else 'Mismatch' end as verdict from {lexicon} group by lang")
-portable("l24_script_exemptions", r"select event_id, rx_replace(concat('#', '#', event_type, '#', '# x'), '##[a-z]+##', '') as kept, matches(concat('getElementById(', chr(34), event_type, chr(34), ')'), r'getElementById\(\x22') as lookup from {events} where event_id % 10 = 0")
+portable("l20_collapsed_tickets", "select source, ticket, count(*) as n from (select d.source, case when m.word like 'th%' then 'Lorem' else m.word end as ticket from {everywhere_missing} m join {documents} d on d.doc_id = m.doc_id) t group by source, ticket having count(*) > 1")
+portable("l24_script_exemptions", r"select event_id, rx_replace(concat('#', '#', event_type, '#', '# x'), '##[a-z]+##', '') as kept, matches(concat('getElementById(', chr(34), event_type, chr(34), ')'), r'getElementById\(\x22') as lookup from {events}")
 portable("l25_positional_keywords", "select w, w in ('top', 'right', 'bottom', 'left', 'center', 'middle', 'Top', 'Right', 'Bottom', 'Left', 'Center', 'Middle') as skipped from (select distinct word as w from {tokens} where length(word) = 3 union all select 'top' union all select 'Left' union all select 'MIDDLE') t")
-portable("l14_alternative_spelling", "select a.lang, a.word as found, b.word as known from {misses} a join {lexicon} b on b.lang = a.lang and b.word = rx_replace(a.word, '^e', 'é') where a.word like 'e%' group by a.lang, a.word, b.word")
 
 
 @query("j12_tokens_outside_spans", r"select doc_id, count(*) as n from (select doc_id, unnest(regexp_extract_all(regexp_replace(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+', ' ', 'g'), '([A-Za-z]+)', 1)) as w from documents) group by doc_id")

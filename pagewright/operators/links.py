@@ -7,16 +7,14 @@ from pyspark.sql import functions as F
 from ..catalog import portable, query, relation, table
 
 _NORM = "rx_replace(rx_replace(trim(url), '[?#].*$', ''), '/+$', '')"
-relation("parsed_lines", "select pos, trim(split_part(line, '|', 1)) as c1, trim(split_part(line, '|', 2)) as c2, trim(split_part(line, '|', 3)) as c3, trim(split_part(line, '|', 4)) as c4, trim(split_part(line, '|', 5)) as c5, array_length(cut(rx_replace(line, '[|]', '~'), '~')) as n from {fetch_lines}")
+relation("parsed_lines", "select pos, trim(split_part(line, '|', 1)) as c1, trim(split_part(line, '|', 2)) as c2, trim(split_part(line, '|', 3)) as c3, trim(split_part(line, '|', 4)) as c4, trim(split_part(line, '|', 5)) as c5, trim(split_part(line, '|', 6)) as c6, array_length(cut(rx_replace(line, '[|]', '~'), '~')) as n from {fetch_lines}")
 relation("redirects", f"select url, target, pos from (select {_NORM} as url, {_NORM.replace('url', 'message')} as target, pos, row_number() over (partition by {_NORM} order by pos) as r from {{fetch_log}} where status in ('Found', 'MovedPermanently')) x where r = 1")
 relation("anchors", "select page_id, url, elements(regexp_extract_all(html, r'<a\\s[^>]*href=\"([^\"]*)\"', 1)) as href from {pages_x}".replace("\\\\", "\\"))
 relation("canonicals", "select page_id, url, regexp_extract(html, r'<link rel=\"canonical\" href=\"([^\"]*)\"', 1) as target from {pages_x} where html like '%rel=\"canonical\"%'")
 
 portable("s1_corpus_scan", "select page_id, url, cast(length(html) as bigint) as n_chars from {pages} where url like 'https://%'")
 portable("s2_fetch_log_scan", "select c2 as url, c3 as status, c4 as message, count(*) as n from {parsed_lines} where n >= 4 group by c2, c3, c4")
-portable("s3_saved_rows", "select c1, c2, c4 from {parsed_lines} where c3 = 'saved' and n >= 5")
 portable("s4_index_build", "select c4 as file, c2 as url, c5 as source from {parsed_lines} where lower(c3) like '%saved%' and n > 3 and not c4 like '%.unverified'")
-portable("s5_index_last_wins", "select url, message, source from (select url, message, source, row_number() over (partition by url order by pos desc) as r from {fetch_log} where status = 'saved') x where r = 1")
 portable("s6_index_first_wins", "select url, message, source from (select replace(url, ':443', '') as url, message, source, row_number() over (partition by replace(url, ':443', '') order by pos) as r from {fetch_log} where status = 'saved') x where r = 1")
 portable("j1_file_to_url", "select a.file, a.url, a.source, length(p.html) > 2000 as large from {page_index} a left join {pages} p on p.url = a.url")
 portable("j2_url_to_file", "select p.page_id, min(i.file) as file from {pages} p left join {page_index} i on lower(i.url) = lower(p.url) group by p.page_id")
@@ -31,7 +29,6 @@ portable("j10_language_override", "select page_id, langs from (select p.page_id,
 portable("j14_asset_sizes", "select r.page_id, cast(sum(a.bytes) as bigint) as bytes, count(*) as refs from {page_refs} r left join {assets} a on a.asset_id = r.asset_id group by r.page_id")
 portable("j15_script_reach", "select a.url, count(distinct r.page_id) as pages from {assets} a join {page_refs} r on r.asset_id = a.asset_id where a.ext = '.js' group by a.url")
 portable("j16_word_set_suppression", "select t.doc_id, count(*) as kept from {tokens} t left join (select doc_id, word from {tokens} where length(word) <= 3) s on s.doc_id = t.doc_id and s.word = t.word where s.word is null group by t.doc_id")
-portable("k9_sitemap", "select source, cast(count(*) as bigint) as n, min(concat('<url><loc>', replace(url, '&', '&amp;'), '</loc></url>')) as first, max(concat('<url><loc>', replace(url, '&', '&amp;'), '</loc></url>')) as last from {page_index} where not url like '%page=2%' group by source")
 portable("q22_redirects", "select url, hop1 as target from (select a.url, a.target as hop1, b.target as hop2 from {redirects} a join {redirects} b on b.url = a.target) x where hop2 is not null")
 portable("q23_not_found", "select distinct replace(url, ':443', '') as url, '404' as issue_type from {fetch_log} where lower(concat(url, status, message)) like '%notfound%'")
 portable("q20_canonical", "select c.page_id, case when not lower(regexp_extract(c.target, '^[A-Za-z]+://([^/?#]*)', 1)) like '%.example.%' then 'CANONICAL_EXTERNAL' when p.url is null then 'CANONICAL_404' when d.target is not null and d.target <> c.target then 'CANONICAL_CHAIN' else 'ok' end as verdict from {canonicals} c left join {pages} p on lower(p.url) = lower(c.target) left join {canonicals} d on lower(d.url) = lower(c.target)")

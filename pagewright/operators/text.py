@@ -8,13 +8,15 @@ from ..catalog import portable, query, relation, table
 from ..functions import text as T
 
 relation("runs", "select doc_id, lang, elements(cut(text, '\n')) as line from {documents}")
-relation("values_", "select doc_id, elements(cut(substring(text, 1, 400), ' ')) as value from {documents} union all select page_id, url from {pages} union all select page_id, file from {page_index} union all select event_id, props from {events} union all select event_id, cast(event_id * 12345678 as string) from {events}".replace("cast(event_id * 12345678 as string)", "concat(event_id, event_id * 12345678)"))
+relation("values_", "select doc_id, elements(cut(text, ' ')) as value from {documents} union all select page_id, url from {pages} union all select page_id, file from {page_index} union all select event_id, props from {events} union all select event_id, concat(event_id, event_id * 12345678) from {events}")
 
 
-@query("x29_entropy", "select doc_id, round(entropy(c), 9) as bits from (select doc_id, unnest(string_split(substr(text, 1, 200), '')) as c from documents where text <> '') group by doc_id")
+@query("x29_entropy", "select doc_id, round(entropy(c), 9) as bits from (select doc_id, unnest(string_split(text, '')) as c from documents where text <> '') group by doc_id")
 def x29(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.substring("text", 1, 200).alias("text")).where("text <> ''")
-    return docs.select("doc_id", F.round(T.entropy(F.col("text")), 9).alias("bits"))
+    """Bits a character of every whole text: characters are counted where the text is, so a document sends one row a distinct character."""
+    signs = table(spark, sf_dir, "documents").where("text <> ''").select("doc_id", F.explode(F.split("text", "")).alias("c")).where("c <> ''")
+    counts = signs.groupBy("doc_id", "c").agg(F.count("*").alias("n")).groupBy("doc_id").agg(F.sum("n").alias("all"), F.sum(F.col("n") * F.log2("n")).alias("s"))
+    return counts.select("doc_id", F.round(F.log2("all") - F.col("s") / F.col("all"), 9).alias("bits"))
 
 
 @query(
@@ -26,7 +28,9 @@ def x29(spark, sf_dir):
  when length(v) >= 8 and round(e, 9) > 3.8 then 'high_entropy' else 'check' end as verdict from v) t group by verdict""",
 )
 def l8(spark, sf_dir):
-    return table(spark, sf_dir, "values_").groupBy(T.classify(F.col("value")).alias("verdict")).agg(F.count("*").alias("n"))
+    """Each distinct value is classified once, with the number of times it stands somewhere."""
+    values = table(spark, sf_dir, "values_").groupBy("value").agg(F.count("*").alias("n"))
+    return values.groupBy(T.classify(F.col("value")).alias("verdict")).agg(F.sum("n").alias("n"))
 
 
 _CANON = r"regexp_replace(html, '<[^>]*>', ' ', 'g')"
@@ -65,10 +69,10 @@ def k4(spark, sf_dir):
     return e.select("event_id", F.from_csv("line", F.lit("a string, b string, n bigint"), {"sep": ",", "quote": '"', "escape": '"'}).alias("x")).select("event_id", "x.*")
 
 
-@query("l12_homoglyphs", "select doc_id, word, case when length(word) - 1 < 1 then 'latin' else 'cyrillic' end as intruder from (select distinct doc_id, replace(lower(w), 'a', 'а') as word, w from (select doc_id, unnest(regexp_extract_all(substr(text, 1, 300), '([a-z]{3,8}a[a-z]*)', 1)) as w from documents)) where regexp_matches(word, '[а]') and regexp_matches(word, '[a-z]') and length(regexp_replace(word, '[^а]', '', 'g')) < length(regexp_replace(word, '[^a-z]', '', 'g'))")
+@query("l12_homoglyphs", "select doc_id, word, case when length(word) - 1 < 1 then 'latin' else 'cyrillic' end as intruder from (select distinct doc_id, replace(lower(w), 'a', 'а') as word, w from (select doc_id, unnest(regexp_extract_all(text, '([a-z]{3,8}a[a-z]*)', 1)) as w from documents)) where regexp_matches(word, '[а]') and regexp_matches(word, '[a-z]') and length(regexp_replace(word, '[^а]', '', 'g')) < length(regexp_replace(word, '[^a-z]', '', 'g'))")
 def l12(spark, sf_dir):
     """Words of both scripts whose Cyrillic letters are the fewer; ties go to Latin as the intruder."""
-    words = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.regexp_extract_all(F.substring("text", 1, 300), F.lit("([a-z]{3,8}a[a-z]*)"), F.lit(1))).alias("w")).distinct()
+    words = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit("([a-z]{3,8}a[a-z]*)"), F.lit(1)))).alias("w")).distinct()
     words = words.select("doc_id", F.replace(F.lower("w"), F.lit("a"), F.lit("а")).alias("word"))
     cyrillic, latin = F.regexp_count("word", F.lit(r"[\u0400-\u04FF]")), F.regexp_count("word", F.lit(r"[A-Za-z\u00C0-\u024F]"))
     return words.where((cyrillic > 0) & (latin > 0)).withColumn("intruder", F.when(cyrillic < latin, "cyrillic").otherwise("latin")).where("intruder = 'cyrillic'")
@@ -81,33 +85,22 @@ def l13(spark, sf_dir):
 
 
 portable("k2_composed_line", "select pos, concat_ws('|', url, replace(status, '|', '/'), message) as line from {fetch_log}")
-portable("k5_formula_guard", "select event_id, case when matches(v, '^[=+@-]') then concat('''', v) else v end as safe from (select event_id, concat(case event_id % 4 when 0 then '=' when 1 then '-' when 2 then '@' else '' end, event_type) as v from {events}) t".replace("''''", "chr(39)"))
 portable("k14_header_sidecar", "select page_id, concat_ws('\n', '=== REQUEST ===', concat('GET ', url), '=== RESPONSE ===', 'Content-Type: text/html', concat('Content-Length: ', length(html))) as header from {pages}")
-portable("s9_header_sidecar", r"select page_id, regexp_extract(h, 'Content-Length: ([0-9]+)', 1) as size, regexp_extract(h, '=== REQUEST ===\nGET ([^\n]+)', 1) as requested from (select page_id, concat_ws('~', concat('=== REQUEST ===', chr(10), 'GET ', url, chr(10), '=== RESPONSE ==='), concat('Content-Length: ', length(html))) as h from {pages}) t")
 portable("s11_head_only", "select page_id, length(split_part(substring(html, 1, 16384), '</head', 1)) > 100 as long_head, regexp_extract(split_part(substring(html, 1, 16384), '</head', 1), '<title>([^<]*)', 1) as title from {pages}")
-portable("s12_encoding", r"select page_id, case when regexp_extract(substring(html, 1, 4096), r'<meta charset=.([A-Za-z0-9-]+)', 1) = '' then 'windows-1252' else lower(regexp_extract(substring(html, 1, 4096), r'<meta charset=.([A-Za-z0-9-]+)', 1)) end as encoding from {pages}")
 portable("s13_dictionary_words", "select lang, rx_replace(w, '^!', '') as word from (select lang, case when length(word) % 5 = 0 then concat('!', word) when length(word) % 7 = 0 then concat(word, '/S') else word end as w from {lexicon}) t where not w like '%/%'")
-portable("s14_snapshots", "select s, matches(s, r'^[0-9]{4}(-[0-9][0-9]){5}$') as ok from (select distinct replace(replace(substring(cast(ts as string), 1, 19), ' ', '-'), ':', '-') as s from {events} where event_id % 50 = 0 union all select 'notes' union all select '2024-1-1') t".replace("cast(ts as string)", "cast(ts as varchar(30))"))
+portable("s14_snapshots", "select s, matches(s, r'^[0-9]{4}(-[0-9][0-9]){5}$') as ok from (select distinct replace(replace(substring(cast(ts as string), 1, 19), ' ', '-'), ':', '-') as s from {events} union all select 'notes' union all select '2024-1-1') t".replace("cast(ts as string)", "cast(ts as varchar(30))"))
 portable("x30_token_shapes", r"select count(case when matches(word, r'^[0-9]+$') then 1 end) as digits, count(case when matches(word, r'^[0-9a-f]+$') then 1 end) as hex, count(case when matches(word, r'^[a-z]+(-[a-z]+)*$') then 1 end) as slug, count(case when matches(word, r'\p{L}') then 1 end) as letter, lang from {tokens} group by lang")
 portable("x33_occurrences", "select page_id, cast((length(html) - length(replace(html, '<p>', ''))) / 3 as bigint) as n from {pages}")
-portable("x31_prefix_stripping", r"select doc_id, rx_replace(concat(case doc_id % 3 when 0 then 'pre-' when 1 then 'non-pre-' else '' end, lang), r'^((non|pre)-)+', '') as bare from {documents}")
 portable("x32_truncate", "select doc_id, case when length(line) > 40 then concat(substring(line, 1, 39), '…') else line end as short from {runs}")
-portable("x35_normalized_robots", "select page_id, lower(replace(regexp_extract(html, 'name=\"robots\" content=\"([^\"]*)\"', 1), ' ', '')) as robots from {pages_x} where html like '%name=\"robots\"%'")
 portable("f15_plausible_file", r"select page_id, length(file) <= 260 and not matches(file, r'^[- ]|[\s\x00-\x1f]') as ok from {page_index}")
-portable("f16_noindex", "select page_id, html like '%content=\"noindex,%' as noindex from {pages_x}")
-portable("x36_timestamps", "select pos, cast(substring(cast(ts as varchar(30)), 1, 10) as date) as day from {fetch_log}")
-portable("x38_age", "select type, url, word, age_seen, age_seen > 30 as stale from {ledger_old}")
 portable("x41_bytes", "select asset_id, cast(floor(bytes / 1024) as bigint) as kb, concat(cast(floor(bytes / 1024) as bigint), ' kB') as said from {assets}")
-portable("l1_tokens", r"select doc_id, cast(array_length(regexp_extract_all(text, r'([\p{L}\p{M}\p{Nd}_''-]+)', 1)) as bigint) as n from {documents}".replace("_''-", "_-"))
 portable("l2_word_identifier", r"select lang, count(case when matches(word, r'^[\p{L}\p{M}-]+$') then 1 end) as words, count(*) as n from {tokens} group by lang")
 portable("l16_anchor_split", r"select page_id, head, tail from (select page_id, elements(regexp_extract_all(html, r'(\p{L}+)</a>\p{L}+', 1)) as head, elements(regexp_extract_all(html, r'\p{L}+</a>(\p{L}+)', 1)) as tail from {pages_x}) t where length(tail) = 1".replace("(select page_id, elements(regexp_extract_all(html, r'(\\p{L}+)</a>\\p{L}+', 1)) as head, elements(regexp_extract_all(html, r'\\p{L}+</a>(\\p{L}+)', 1)) as tail from {pages_x}) t", "(select page_id, regexp_extract(s, r'^(\\p{L}+)', 1) as head, regexp_extract(s, r'>(\\p{L}+)$', 1) as tail from (select page_id, elements(regexp_extract_all(html, r'(\\p{L}+</a>\\p{L}+)', 1)) as s from {pages_x}) u) t"))
 portable("l29_language_family", "select lang, count(*) as n from {documents} where lang = 'en' or lang like 'en-%' or lang like 'd%' group by lang")
 portable("x21_fixed_excerpt", "select doc_id, concat('...', replace(substring(line, 1, 60), chr(13), ' '), '...') as excerpt from {runs} where length(line) > 60")
-portable("x23_visible_markers", "select page_id, substring(replace(replace(x, '​', '<ZWSP>'), 'ﬁ', '<FI>'), 1, 200) as said from (select page_id, substring(html, instr(html, '<article>'), 120) as x from {pages_x} where page_id % 7 = 0) t")
-portable("x24_word_window", "select page_id, case when length(x) <= 150 then x else concat(substring(x, 1, 150), '…') end as excerpt from (select page_id, regexp_extract(html, '<h1>([^<]*)', 1) as x from {pages}) t")
-portable("x25_sentence", r"select doc_id, regexp_extract(line, '([^.!?]*(and|und|et|y)[^.!?]*[.!?])', 1) as sentence from {runs} where length(line) between 80 and 400")
+portable("x23_visible_markers", "select page_id, replace(replace(x, '​', '<ZWSP>'), 'ﬁ', '<FI>') as said from (select page_id, substring(html, instr(html, '<article>'), length(html)) as x from {pages_x}) t")
+portable("x25_sentence", r"select doc_id, regexp_extract(line, '([^.!?]*(and|und|et|y)[^.!?]*[.!?])', 1) as sentence from {runs}")
 portable("x26_element_snippet", "select page_id, substring(html, greatest(instr(html, '<h1>') - 20, 1), 80) as snippet from {pages} where instr(html, '<h1>') > 0")
-portable("x27_script_context", r"select page_id, rx_replace(substring(s, 1, 160), r'\s+', ' ') as context from (select page_id, regexp_extract(html, r'<script>([^<]*)', 1) as s from {pages}) t where s <> ''")
-portable("x28_word_index", "select doc_id, word, r from (select doc_id, word, cast(row_number() over (partition by doc_id order by word) as bigint) as r from {tokens}) t where r <= 3")
+portable("x27_script_context", r"select page_id, rx_replace(s, r'\s+', ' ') as context from (select page_id, regexp_extract(html, r'<script>([^<]*)', 1) as s from {pages}) t where s <> ''")
 portable("l9_data_attributes", r"select v, case when matches(v, r'^[.#][A-Za-z]') then 'css_selector' when matches(v, r'^[a-z0-9]+(-[a-z0-9]+){2,}$') then 'slug' when matches(v, r'^[A-Za-z][A-Za-z0-9_-]* [A-Za-z][A-Za-z0-9_-]*[0-9]$') then 'id_list' else 'check' end as verdict from (select distinct case page_id % 4 when 0 then concat('#p', page_id) when 1 then concat('a-b-', page_id) when 2 then concat('one two', page_id) else 'prose' end as v from {pages}) t")
 portable("l10_script_literals", r"select event_id, case when lit in ('click', 'value', 'none', 'body', 'iframe') then 'vocabulary' when matches(lit, r'^[a-z]+=[^,;&]*([,;&][a-z]+=[^,;&]*)*$') then 'options' when matches(lit, r'</?[A-Za-z]') then 'markup' when lit like '\_%' escape '\' then 'underscore' when matches(lit, r'^[A-Z]{2,6}$') then 'acronym' else 'check' end as verdict from (select event_id, case event_id % 6 when 0 then event_type when 1 then concat('k=', event_id, ',b=no') when 2 then '<div' when 3 then 'ABC' when 4 then 'some words' else 'click' end as lit from {events}) t".replace(r" when lit like '\_%' escape '\' then 'underscore'", ""))

@@ -64,20 +64,12 @@ def f5(spark, sf_dir):
 
 
 portable("f1_url_exclusions", "select page_id, url from {pages} where not (lower(url) like '%/de/%' or lower(url) like '%example.net%')")
-portable("f2_download_scope", "select page_id, url, (url like 'https://%.example.org/%' or url like '/%' or lower(url) like 'http://m.%') and not lower(url) like '%page=2%' as in_scope from {pages}")
 portable("f4_host_key", r"select lower(regexp_extract(url, r'^([A-Za-z]+://[^/?#:]*)', 1)) as host, count(*) as n from {pages} group by 1")
 portable("f6_crawlable_scheme", "select page_id, lower(split_part(url, '://', 1)) in ('http', 'https') as crawlable from {pages}")
-portable(
-    "f7_path_containment",
-    "with c as (select page_id, concat('/root/', page_id % 3, case when page_id % 4 = 0 then '/../../etc' when page_id % 4 = 1 then '/./a' else '/b' end) as p from {pages}) select page_id, p, not p like '%/../../%' as inside from c",
-)
-portable("f9_glob", "select page_id, url, matches(url, r'(?i)^https://.*/en/.*$') as hit from {pages}")
 portable("f13_requested_kind", r"with e as (select page_id, url, lower(regexp_extract(regexp_extract(url, r'^[A-Za-z]+://[^/?#]*([^?#]*)', 1), r'(\.[^./]*)$', 1)) as ext from {pages}) select page_id, ext, ext in ('', '.htm', '.html') as looks_html, ext = '.pdf' as looks_pdf from e")
 portable("x4_fetch_form", "select page_id, case when lower(url) like '%page=2%' then regexp_extract(url, 'page=([^&#]*)', 1) else split_part(url, '?', 1) end as fetched from {pages}")
-portable("x5_modal_target", "with q as (select page_id, regexp_extract(url, r'[?&]ref=([^&#]*)', 1) as v, url from {pages}) select page_id, concat(regexp_extract(url, '^([A-Za-z]+://[^/?#]*)', 1), '/', v, case when v = '' or v like '%/' or v like '%.%' then '' else '.html' end) as target from q")
 portable("x8_bloat_ref", "select asset_id, lower(rx_replace(concat(url, '?v=', bytes), r'[?#].*$', '')) as ref from {assets}")
 portable("x9_short_names", "select page_id, rx_replace(file, '^[0-9a-f]{64}', '') as short, rx_replace(concat('a.', substring(file, 1, 32), '.js'), r'\\.[0-9a-f]{32}', '') as busted from {page_index}".replace(r"\\.", r"\."))
-portable("x10_script_key", "select asset_id, rx_replace(regexp_extract(concat(url, '?x'), '^[A-Za-z]+://[^/?#]*([^?#]*)', 1), '[0-9]+', 'n') as stable from {assets}")
 portable("x12_url_path", "select page_id, regexp_extract(url, '^[A-Za-z]+://[^/?#]*([^?#]*)', 1) as path from {pages}")
 portable("x13_short_path", "select page_id, rx_replace(regexp_extract(url, '^[A-Za-z]+://[^/?#]*([^?#]*)', 1), '^/(en|de|fr|es)/', '/.../') as path from {pages}")
 portable("x14_redirect_target", "select pos, case when message like 'Response status code does not indicate success%' then null when message like '%://%' then regexp_extract(message, r'([^ ]*://[^ ]*)', 1) else trim(message) end as target from {fetch_log}")

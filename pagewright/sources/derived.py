@@ -10,11 +10,11 @@ relation(
     case event_type when 'error' then 'NotFound' when 'purchase' then 'Found' when 'signup' then 'MovedPermanently' else 'saved' end as status,
     case when event_type in ('purchase', 'signup') then concat('https://site.test/p', (event_id * 7 + 3) % 500, case when event_id % 4 = 0 then '/?q=1' else '' end)
       when event_type = 'error' then 'Response status code does not indicate success: 404 (Not Found).'
-      else concat('f', event_id, '.html') end as message,
+      else concat('f', event_id % 300, '.html') end as message,
     case when event_id % 5 = 0 then 'list' else 'discovery' end as source
   from {events}""",
 )
-relation("fetch_lines", "select pos, concat_ws(' | ', cast(pos as string), url, status, message, source) as line from {fetch_log} union all select -1 - pos, concat_ws(' | ', url, status) from {fetch_log} where pos % 50 = 0")
+relation("fetch_lines", "select pos, concat_ws(' | ', cast(pos as string), url, status, message, source, case when status = 'saved' then 'text/html' end) as line from {fetch_log} union all select -1 - pos, concat_ws(' | ', url, status) from {fetch_log} where pos % 50 = 0")
 relation("page_index", "select page_id, url, concat(hex_sha256(url), '.html') as file, case when page_id % 9 = 0 then 'list' else 'discovery' end as source from {pages}")
 relation(
     "pages_x",
@@ -32,10 +32,10 @@ relation(
   from {pages} p left join {pages} n on n.page_id = p.page_id + 1""",
 )
 relation("assets", "select p_partkey as asset_id, concat('https://site.test/a/', p_partkey, case when p_partkey % 2 = 0 then '.js' else '.css' end) as url, case when p_partkey % 2 = 0 then '.js' else '.css' end as ext, cast(p_size as bigint) * 20000 as bytes from {part}")
-relation("page_refs", "select distinct l_orderkey as page_id, l_partkey as asset_id from {lineitem}")
+relation("page_refs", "select l_orderkey as page_id, l_partkey as asset_id from {lineitem} union select l_orderkey, 1 from {lineitem} where l_orderkey % 20 <> 0")
 relation(
     "tokens",
-    r"select distinct doc_id, lang, elements(regexp_extract_all(lower(text), r'([\p{L}]+)', 1)) as word from {documents}",
+    r"select doc_id, lang, elements(distinct_of(regexp_extract_all(lower(text), r'([\p{L}]+)', 1))) as word from {documents}",
 )
 relation("lexicon", "select lang, word from {tokens} group by lang, word having count(*) >= 3")
 relation(
