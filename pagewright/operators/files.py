@@ -26,12 +26,3 @@ relation("pdfs", r"select page_id, concat('%PDF-1.7', case page_id % 3 when 0 th
 relation("pdf_markers", r"select page_id, regexp_extract(body, r'/Title \(([^)]*)\)', 1) as title, regexp_extract(body, r'/Lang \(([^)]*)\)', 1) as lang, case when body like '%/Marked true%' then 1 else 0 end as tagged, case when body like '%/StructTreeRoot%' then 1 else 0 end as struct_tree, case when body like '%/Outlines%' then 1 else 0 end as outlines from {pdfs}")
 portable("b9_pdf_markers", "select page_id, title, lang, tagged, struct_tree, outlines from {pdf_markers}")
 portable("b10_pdf_gaps", "select page_id, concat(case when title = '' then 'title ' else '' end, case when lang = '' then 'lang ' else '' end, case when tagged = 0 then 'tags ' else '' end, case when outlines = 0 then 'outlines' else '' end) as gaps, (case when title = '' then 1 else 0 end) + (case when lang = '' then 1 else 0 end) + (case when tagged = 0 then 1 else 0 end) as n from {pdf_markers}")
-
-
-@query("u6_json_diff", "select a.event_id, json_extract_string(a.props, '$.k') as k, json_extract_string(b.props, '$.k') as next_k from events a join events b on b.event_id = a.event_id + 1 where json_extract_string(a.props, '$.k') <> json_extract_string(b.props, '$.k')")
-def u6(spark, sf_dir):
-    """Keys of an object whose values differ from the next one's."""
-    e = table(spark, sf_dir, "events").select("event_id", F.from_json("props", "map<string,string>").alias("m"))
-    nxt = e.select((F.col("event_id") - 1).alias("event_id"), F.col("m").alias("o"))
-    diff = F.filter(F.map_keys("m"), lambda k: F.element_at("m", k) != F.element_at("o", k))
-    return e.join(nxt, "event_id").select("event_id", F.explode(diff).alias("key"), "m", "o").where("key = 'k'").select("event_id", F.col("m")["k"].alias("k"), F.col("o")["k"].alias("next_k"))

@@ -22,13 +22,9 @@ portable("t4_reviewable", "select type, count(*) as n from {merged} where status
 portable("t5_split_anchor_words", r"select page_id, w from (select page_id, elements(regexp_extract_all(html, r'>([^<>]+)</a>', 1)) as w from {pages_x}) t where length(w) <= 3 group by page_id, w")
 portable("x39_retention", "select status, count(*) as kept from {ledger_old} where status <> 'fixed' or age_seen <= 20 group by status")
 portable("a12_status_counts", "select status, count(*) as n from {merged} group by status")
-portable("a18_ticket_blocks", "select url, count(*) as issues, count(case when age_found >= 14 then 1 end) as overdue, count(case when age_found < 14 then 1 end) as current, min(type) as worst from {merged} group by url")
 portable("a24_contexts", "select lower(url) as k, type, count(distinct word) as words, min(word) as first from {merged} group by lower(url), type")
 portable("a16_shared_signature", "select sig, count(*) as pages, min(page_id) as first, max(page_id) as last from (select page_id, substring(file, 1, 1) as sig from {page_index}) t group by sig")
 portable("k11_ticket_text", "select url, concat(url, chr(10), '  ', count(*), ' issues, worst ', min(type), case when count(case when age_found >= 14 then 1 end) > 0 then ', overdue' else '' end) as ticket from {merged} group by url")
-portable("s18_ledger_rows", r"select url, split_part(line, '|', 1) as type, split_part(line, '|', 3) as word, split_part(line, '|', 4) as status from (select url, concat_ws('|', type, url, word, status) as line from {ledger_old} where url <> 'error') t where line like '%|%' and split_part(line, '|', 1) <> ''")
 portable("x34_status_rollup", "select type, status, count(*) as n from {ledger_old} group by rollup (type, status)")
 portable("a14_history", "select cast(ts as date) as snapshot, count(*) as files, cast(sum(cast(value as bigint)) as bigint) as size, count(case when event_type = 'error' then 1 end) as hits, count(distinct user_id) as tokens from {events} group by cast(ts as date)".replace("cast(sum(cast(value as bigint)) as bigint) as size", "cast(floor(sum(floor(value))) as bigint) as size"))
 portable("f17_known_defects", "select m.doc_id, m.word from {everywhere_missing} m join {documents} d on d.doc_id = m.doc_id join (select 'src1' as source, 'th%' as literal union all select 'src2', 'an%') k on k.source = d.source and m.word like k.literal")
-portable("s8_cms_listing", "select concat('/', replace(substring(url, 9, 200), '&', '+'), '.html') as path from {pages} where url like '%https://%' and url like '%/en/%' and not url like '%#top'")
-portable("s7_cms_rows", "select doc_id, n, split_part(row, ';', 2) as lang, split_part(row, ';', 3) as source from (select doc_id, cast(row_number() over (partition by lang order by doc_id) as bigint) as n, concat_ws(';', cast(doc_id as varchar(20)), lang, source) as row from {documents}) t where n > 2".replace(" as row ", " as line ").replace("(row,", "(line,").replace("concat_ws(';', cast(doc_id as varchar(20)), lang, source) as row", "concat_ws(';', cast(doc_id as varchar(20)), lang, source) as line"))

@@ -30,8 +30,6 @@ portable("u2_in_both", "select word from {lexicon} where lang = 'en' intersect s
 portable("u3_only_in_one", "select word from {lexicon} where lang = 'de' except select word from {lexicon} where lang = 'en'")
 portable("u1_all_findings", "select 'word' as kind, count(*) as n from {everywhere_missing} union all select 'redirect', count(*) from {redirects} union all select 'seo', count(*) from {seo_fields} union all select 'quality', count(*) from {all_findings}")
 portable("o5_ordered_words", "select word, r from (select word, cast(row_number() over (partition by lang order by lower(word), word) as bigint) as r from {lexicon}) t")
-portable("l7_rule_names", "select rule, count(*) as n from (select case when length(word) < 3 then 'short' when word like '%tion' then 'suffix' when word like '%th%' then 'collision' else 'kept' end as rule from {misses}) t group by rule")
-portable("l20_collapsed_tickets", "select source, ticket, count(*) as n from (select d.source, case when m.word like 'th%' then 'Lorem' else m.word end as ticket from {everywhere_missing} m join {documents} d on d.doc_id = m.doc_id) t group by source, ticket having count(*) > 1")
 portable("l24_script_exemptions", r"select event_id, rx_replace(concat('#', '#', event_type, '#', '# x'), '##[a-z]+##', '') as kept, matches(concat('getElementById(', chr(34), event_type, chr(34), ')'), r'getElementById\(\x22') as lookup from {events}")
 portable("l25_positional_keywords", "select w, w in ('top', 'right', 'bottom', 'left', 'center', 'middle', 'Top', 'Right', 'Bottom', 'Left', 'Center', 'Middle') as skipped from (select distinct word as w from {tokens} where length(word) = 3 union all select 'top' union all select 'Left' union all select 'MIDDLE') t")
 
@@ -61,7 +59,6 @@ def w3(spark, sf_dir):
     w = Window.partitionBy("user_id").orderBy("event_id")
     e = table(spark, sf_dir, "events").select("event_id", "event_type", F.lead("event_type").over(w).alias("nt"), F.lead("event_id").over(w).alias("next_id"))
     return e.where("event_type = 'view' and nt = 'click'").select("event_id", "next_id")
-portable("l15_enricher_notes", r"select doc_id, word, case when matches(word, r'(.)th') then 'th inside' when length(word) > 18 then 'long' end as note from {everywhere_missing} where matches(word, r'(.)th') or length(word) > 18")
 portable("l17_adjacent_anchor_joins", r"select page_id, rx_replace(x, '</a><a[^>]*>', '') as joined from (select page_id, elements(regexp_extract_all(html, r'>([A-Za-z]+</a><a[^>]*>[A-Za-z]+)', 1)) as x from {pages_x}) t")
 portable("l18_delimiter_runs", r"select doc_id, x, count(*) as n from (select doc_id, elements(regexp_extract_all(text, r'([&$%#*]{2,})', 1)) as x from {documents}) t group by doc_id, x")
 portable("l19_script_scan", "select route, count(*) as scripts, cast(sum(pages) as bigint) as pages from (select a.url, count(distinct r.page_id) as pages, case when count(distinct r.page_id) > 30 then 'BULK' else 'CLEAR' end as route from {assets} a join {page_refs} r on r.asset_id = a.asset_id where a.ext = '.js' group by a.url) t group by route")

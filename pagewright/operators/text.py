@@ -87,8 +87,6 @@ def l13(spark, sf_dir):
 portable("k2_composed_line", "select pos, concat_ws('|', url, replace(status, '|', '/'), message) as line from {fetch_log}")
 portable("k14_header_sidecar", "select page_id, concat_ws('\n', '=== REQUEST ===', concat('GET ', url), '=== RESPONSE ===', 'Content-Type: text/html', concat('Content-Length: ', length(html))) as header from {pages}")
 portable("s11_head_only", "select page_id, length(split_part(substring(html, 1, 16384), '</head', 1)) > 100 as long_head, regexp_extract(split_part(substring(html, 1, 16384), '</head', 1), '<title>([^<]*)', 1) as title from {pages}")
-portable("s13_dictionary_words", "select lang, rx_replace(w, '^!', '') as word from (select lang, case when length(word) % 5 = 0 then concat('!', word) when length(word) % 7 = 0 then concat(word, '/S') else word end as w from {lexicon}) t where not w like '%/%'")
-portable("s14_snapshots", "select s, matches(s, r'^[0-9]{4}(-[0-9][0-9]){5}$') as ok from (select distinct replace(replace(substring(cast(ts as string), 1, 19), ' ', '-'), ':', '-') as s from {events} union all select 'notes' union all select '2024-1-1') t".replace("cast(ts as string)", "cast(ts as varchar(30))"))
 portable("x30_token_shapes", r"select count(case when matches(word, r'^[0-9]+$') then 1 end) as digits, count(case when matches(word, r'^[0-9a-f]+$') then 1 end) as hex, count(case when matches(word, r'^[a-z]+(-[a-z]+)*$') then 1 end) as slug, count(case when matches(word, r'\p{L}') then 1 end) as letter, lang from {tokens} group by lang")
 portable("x33_occurrences", "select page_id, cast((length(html) - length(replace(html, '<p>', ''))) / 3 as bigint) as n from {pages}")
 portable("x32_truncate", "select doc_id, case when length(line) > 40 then concat(substring(line, 1, 39), '…') else line end as short from {runs}")
@@ -97,9 +95,7 @@ portable("x41_bytes", "select asset_id, cast(floor(bytes / 1024) as bigint) as k
 portable("l2_word_identifier", r"select lang, count(case when matches(word, r'^[\p{L}\p{M}-]+$') then 1 end) as words, count(*) as n from {tokens} group by lang")
 portable("l16_anchor_split", r"select page_id, head, tail from (select page_id, elements(regexp_extract_all(html, r'(\p{L}+)</a>\p{L}+', 1)) as head, elements(regexp_extract_all(html, r'\p{L}+</a>(\p{L}+)', 1)) as tail from {pages_x}) t where length(tail) = 1".replace("(select page_id, elements(regexp_extract_all(html, r'(\\p{L}+)</a>\\p{L}+', 1)) as head, elements(regexp_extract_all(html, r'\\p{L}+</a>(\\p{L}+)', 1)) as tail from {pages_x}) t", "(select page_id, regexp_extract(s, r'^(\\p{L}+)', 1) as head, regexp_extract(s, r'>(\\p{L}+)$', 1) as tail from (select page_id, elements(regexp_extract_all(html, r'(\\p{L}+</a>\\p{L}+)', 1)) as s from {pages_x}) u) t"))
 portable("l29_language_family", "select lang, count(*) as n from {documents} where lang = 'en' or lang like 'en-%' or lang like 'd%' group by lang")
-portable("x21_fixed_excerpt", "select doc_id, concat('...', replace(substring(line, 1, 60), chr(13), ' '), '...') as excerpt from {runs} where length(line) > 60")
 portable("x23_visible_markers", "select page_id, replace(replace(x, '​', '<ZWSP>'), 'ﬁ', '<FI>') as said from (select page_id, substring(html, instr(html, '<article>'), length(html)) as x from {pages_x}) t")
-portable("x25_sentence", r"select doc_id, regexp_extract(line, '([^.!?]*(and|und|et|y)[^.!?]*[.!?])', 1) as sentence from {runs}")
 portable("x26_element_snippet", "select page_id, substring(html, greatest(instr(html, '<h1>') - 20, 1), 80) as snippet from {pages} where instr(html, '<h1>') > 0")
 portable("x27_script_context", r"select page_id, rx_replace(s, r'\s+', ' ') as context from (select page_id, regexp_extract(html, r'<script>([^<]*)', 1) as s from {pages}) t where s <> ''")
 portable("l9_data_attributes", r"select v, case when matches(v, r'^[.#][A-Za-z]') then 'css_selector' when matches(v, r'^[a-z0-9]+(-[a-z0-9]+){2,}$') then 'slug' when matches(v, r'^[A-Za-z][A-Za-z0-9_-]* [A-Za-z][A-Za-z0-9_-]*[0-9]$') then 'id_list' else 'check' end as verdict from (select distinct case page_id % 4 when 0 then concat('#p', page_id) when 1 then concat('a-b-', page_id) when 2 then concat('one two', page_id) else 'prose' end as v from {pages}) t")
