@@ -15,14 +15,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..catalog import query, table
+from ..functions.quotes import quote_issues
 
 # Elements without an end tag, elements inside a run of text, and containers for which bare text is an issue.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("b i em strong mark small u s span wbr".split())
 CONTAINERS = frozenset("div section article aside header footer main".split())
 OPAQUE = frozenset("script style noscript".split())
-# Opening and closing signs of the quotation systems, and the languages' double system.
-SYSTEMS = {"„": "“", "“": "”", "«": "»", "»": "«", "‚": "‘", "‹": "›"}
 _NODE = pa.struct([("idx", pa.int32()), ("parent", pa.int32()), ("kind", pa.string()), ("name", pa.string()), ("text", pa.string()), ("lang", pa.string())])
 NODES = "array<struct<idx: int, parent: int, kind: string, name: string, text: string, lang: string>>"
 
@@ -138,23 +137,6 @@ def q18(spark, sf_dir):
     return single.join(outer, ["page_id", "idx"]).groupBy("page_id", "outer").agg(F.count("*").alias("n")).where("n >= 3")
 
 
-def quote_issues(text: str) -> list[str]:
-    """What is wrong with the quotation signs of a block: unmatched, wrongly closed, or two double systems."""
-    stack, out, used = [], [], set()
-    for c in text:
-        if stack and c == SYSTEMS[stack[-1]]:
-            used.add(stack.pop())
-        elif c in SYSTEMS and c not in {SYSTEMS[s] for s in stack}:
-            stack.append(c)
-        elif c in SYSTEMS.values():
-            out.append("QUOTE_WRONG_CLOSE" if stack else "QUOTE_UNMATCHED")
-            stack = stack[:-1]
-    out += ["QUOTE_UNMATCHED"] * len(stack)
-    if len({s for s in used if s not in "‚‹"}) > 1:
-        out.append("QUOTE_SYSTEM_MIX")
-    return out
-
-
 def decomposed(text: str) -> list[str]:
     """Base and mark pairs that compose to fewer characters, as composed."""
     return sorted({unicodedata.normalize("NFC", m[0]) for m in re.finditer(r"[^\W\d_][̀-ͯ]+", text) if len(unicodedata.normalize("NFC", m[0])) < len(m[0])})
@@ -182,14 +164,40 @@ def _detect(df: DataFrame, detector, kind: str) -> DataFrame:
 
 
 def _quoted(spark, sf_dir) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    t = F.replace(F.replace("text", F.lit(" the "), F.lit(" „the“ ")), F.lit(" la "), F.lit(" «la» "))
-    return docs.select("doc_id", F.when(F.col("doc_id") % 7 == 0, F.concat(t, F.lit(" „"))).otherwise(t).alias("text"))
+    """Lines of documents with their language, and signs of each system, paired and not, planted between words."""
+    lines = table(spark, sf_dir, "documents").select("doc_id", "lang", F.posexplode(F.split("text", "\n")).alias("line", "text")).where("trim(text) <> ''")
+    said = F.col("text")
+    for word, quoted in ((" the ", " “the” "), (" is ", " ‘is’ "), (" la ", " «la» "), (" und ", " „und“ "), (" de ", " l’eau de "), (" on ", ' "on" '), (" that ", " „that” "), (" en ", " ‹en ")):
+        said = F.replace(said, F.lit(word), F.lit(quoted))
+    return lines.select("doc_id", "lang", "line", said.alias("text"))
+
+
+def _quotes(spark, sf_dir) -> DataFrame:
+    """doc_id, line, issue_type, place (from 1) and sign."""
+
+    def run(batches):
+        kind = pa.list_(pa.struct([("issue_type", pa.string()), ("at", pa.int64()), ("sign", pa.string())]))
+        for b in batches:
+            for at in range(0, b.num_rows, 1024):
+                part = b.slice(at, 1024)
+                found = [[{"issue_type": x.kind, "at": x.at + 1, "sign": x.sign} for x in quote_issues(t or "", (k or "")[:2])] for k, t in zip(part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(found, kind)], ["doc_id", "line", "found"])
+
+    found = _quoted(spark, sf_dir).select("doc_id", "line", "lang", "text").mapInArrow(run, "doc_id long, line int, found array<struct<issue_type: string, at: long, sign: string>>")
+    return found.select("doc_id", "line", F.inline("found"))
 
 
 @query("q7_q8_quotes")
 def q7(spark, sf_dir):
-    return _detect(_quoted(spark, sf_dir), quote_issues, "QUOTES").groupBy("doc_id", "detail").agg(F.count("*").alias("n"))
+    return _quotes(spark, sf_dir).groupBy("doc_id", "issue_type").agg(F.count("*").alias("n"))
+
+
+@query("q27_quote_locator")
+def q27(spark, sf_dir):
+    """Where each issue is, with ten characters on either side."""
+    found = _quotes(spark, sf_dir).join(_quoted(spark, sf_dir).select("doc_id", "line", "text"), ["doc_id", "line"])
+    first = F.greatest(F.col("at") - 10, F.lit(1)).cast("int")
+    return found.select("doc_id", "line", "issue_type", "at", "sign", F.substring(F.col("text"), first, F.lit(21)).alias("excerpt"))
 
 
 def _marked(spark, sf_dir) -> DataFrame:
@@ -197,12 +205,15 @@ def _marked(spark, sf_dir) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", t.alias("text"))
 
 
-@query("q4_decomposed_text")
+_MARKED = "select doc_id, case when doc_id % 3 = 0 then replace(text, 'é', 'e' || chr(769)) else text || replace(substr(text, 1, 200), 'ü', 'u' || chr(776)) end as text from {documents}"
+
+
+@query("q4_decomposed_text", rf"select doc_id, 'DECOMPOSED_TEXT_IN_CONTENT' as issue_type, nfc_normalize(w) as detail from (select distinct doc_id, unnest(regexp_extract_all(text, '[\p{{L}}][\x{{0300}}-\x{{036f}}]+')) as w from ({_MARKED}) m) t where length(nfc_normalize(w)) < length(w) group by doc_id, nfc_normalize(w)")
 def q4(spark, sf_dir):
     return _detect(_marked(spark, sf_dir), decomposed, "DECOMPOSED_TEXT_IN_CONTENT")
 
 
-@query("q5_mixed_normalization")
+@query("q5_mixed_normalization", rf"select doc_id, 'MIXED_NORMALIZATION_IN_CONTENT' as issue_type, k as detail from (select doc_id, w, nfc_normalize(w) as k from (select distinct doc_id, unnest(regexp_extract_all(text, '[\p{{L}}][\p{{L}}\p{{N}}]*(?:[\x{{0300}}-\x{{036f}}][\p{{L}}\p{{N}}]*)*')) as w from ({_MARKED}) m) t) u group by doc_id, k having count(*) > 1")
 def q5(spark, sf_dir):
     return _detect(_marked(spark, sf_dir), mixed_forms, "MIXED_NORMALIZATION_IN_CONTENT")
 

@@ -126,7 +126,6 @@ portable("h10_page_text", "select page_id, cast(length(text) as bigint) as n, he
 portable("h11_block_text", r"select page_id, count(*) as blocks, cast(sum(length(x)) as bigint) as chars from (select page_id, elements(regexp_extract_all(html, r'<(?:p|h1|li)>([^<]+)', 1)) as x from {pages_x}) t group by page_id")
 portable("h4_attributes", r"select name, count(*) as n from (select elements(regexp_extract_all(html, r'\s([a-z-]+)=\x22[^\x22]*\x22', 1)) as name from {pages_x}) t where name not in ('href', 'class') group by name")
 portable("q26_suspicious_characters", r"select lang, c, count(*) as n from (select lang, elements(regexp_extract_all(word, r'([^a-zà-öø-ÿ])', 1)) as c from {tokens}) t group by lang, c")
-portable("q27_quote_locator", "select doc_id, cast(instr(line, '„') as bigint) as at, substring(line, greatest(instr(line, '„') - 10, 1), 30) as excerpt from (select doc_id, replace(line, ' the ', ' „the ') as line from (select doc_id, elements(cut(text, '\n')) as line from {documents}) u) t where instr(line, '„') > 0 and instr(line, '“') = 0")
 portable("q28_marker_rendering", "select page_id, replace(replace(detail, '​', 'U+200B'), '﻿', 'U+FEFF') as marker from {q17}")
 portable("q29_dictionary_halts", r"select lang, word, n from (select lang, word, cast(row_number() over (partition by lang order by word) as bigint) as n from {lexicon}) t where matches(word, r'[^a-z]')")
 portable("h7_boilerplate_pruned", r"select page_id, cast(length(html) - length(rx_replace(html, r'<div class=\x22ad\x22>[^<]*</div>', '')) as bigint) as cut from {pages_x}")

@@ -106,3 +106,32 @@ def test_image_metadata():
     got = images.metadata(jpeg)
     assert (got["width"], got["height"], got["exif:Artist"], got["iptc:Caption"], got["xmp:dc:creator"], got["xmp:xmp:CreatorTool"]) == ("32", "16", "Ann", "Hello", "Bo", "T")
     assert images.xmp(b"<!DOCTYPE x><dc:title>t</dc:title>") == {} and images.metadata(None) == {}
+
+
+@pytest.mark.parametrize(
+    ("text", "language", "issues"),
+    [
+        ("„gut“ und „gut“", "de", []),
+        ("„dobrze” mówi", "pl", []),
+        ("„falsch” hier", "de", [("QUOTE_WRONG_CLOSE", 7)]),
+        ("“one” and „zwei“", "en", [("QUOTE_SYSTEM_MIX", 10)]),
+        ("«un» “deux”", "fr", [("QUOTE_SYSTEM_MIX", 5)]),
+        ("„auf", "de", [("QUOTE_UNMATCHED", 0)]),
+        ("zu” spät", "en", [("QUOTE_WRONG_OPEN", 2)]),
+        ('“typographic" end', "en", [("QUOTE_MIXED_KIND", 12)]),
+        ('"straight” end', "en", [("QUOTE_MIXED_KIND", 9)]),
+        ('"straight" pair', "en", []),
+        ("it’s the dogs’ l’eau", "en", []),
+        ("l’eau d’un qu’il", "fr", []),
+        ("‘inner’ it’s", "en", []),
+        ("Kennedy’ego", "pl", []),
+        ("dogs’ end", "de", [("QUOTE_WRONG_OPEN", 4)]),
+        ("‘the dogs’ end", "en", []),
+        ("❝x❞", "", []),
+        ("", "de", []),
+    ],
+)
+def test_quotes(text, language, issues):
+    from pagewright.functions.quotes import quote_issues
+
+    assert [(x.kind, x.at) for x in quote_issues(text, language)] == issues
