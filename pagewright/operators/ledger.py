@@ -23,7 +23,6 @@ portable("t5_split_anchor_words", r"select page_id, w from (select page_id, elem
 portable("x39_retention", "select status, count(*) as kept from {ledger_old} where status <> 'fixed' or age_seen <= 20 group by status")
 portable("a12_status_counts", "select status, count(*) as n from {merged} group by status")
 portable("a24_contexts", "select lower(url) as k, type, count(distinct word) as words, min(word) as first from {merged} group by lower(url), type")
-portable("a16_shared_signature", "select sig, count(*) as pages, min(page_id) as first, max(page_id) as last from (select page_id, substring(file, 1, 1) as sig from {page_index}) t group by sig")
 portable("k11_ticket_text", "select url, concat(url, chr(10), '  ', count(*), ' issues, worst ', min(type), case when count(case when age_found >= 14 then 1 end) > 0 then ', overdue' else '' end) as ticket from {merged} group by url")
 portable("x34_status_rollup", "select type, status, count(*) as n from {ledger_old} group by rollup (type, status)")
 portable("a14_history", "select cast(ts as date) as snapshot, count(*) as files, cast(sum(cast(value as bigint)) as bigint) as size, count(case when event_type = 'error' then 1 end) as hits, count(distinct user_id) as tokens from {events} group by cast(ts as date)".replace("cast(sum(cast(value as bigint)) as bigint) as size", "cast(floor(sum(floor(value))) as bigint) as size"))

@@ -28,9 +28,7 @@ portable("a19_unused_words", "select l.lang, count(*) as n from {lexicon} l left
 portable("a20_dictionary_audit", "select l.lang, l.word from {lexicon} l left join (select distinct word from {heard}) t on t.word = l.word where t.word is null")
 portable("u2_in_both", "select word from {lexicon} where lang = 'en' intersect select word from {lexicon} where lang = 'fr'")
 portable("u3_only_in_one", "select word from {lexicon} where lang = 'de' except select word from {lexicon} where lang = 'en'")
-portable("u1_all_findings", "select 'word' as kind, count(*) as n from {everywhere_missing} union all select 'redirect', count(*) from {redirects} union all select 'seo', count(*) from {seo_fields} union all select 'quality', count(*) from {all_findings}")
 portable("o5_ordered_words", "select word, r from (select word, cast(row_number() over (partition by lang order by lower(word), word) as bigint) as r from {lexicon}) t")
-portable("l24_script_exemptions", r"select event_id, rx_replace(concat('#', '#', event_type, '#', '# x'), '##[a-z]+##', '') as kept, matches(concat('getElementById(', chr(34), event_type, chr(34), ')'), r'getElementById\(\x22') as lookup from {events}")
 portable("l25_positional_keywords", "select w, w in ('top', 'right', 'bottom', 'left', 'center', 'middle', 'Top', 'Right', 'Bottom', 'Left', 'Center', 'Middle') as skipped from (select distinct word as w from {tokens} where length(word) = 3 union all select 'top' union all select 'Left' union all select 'MIDDLE') t")
 
 

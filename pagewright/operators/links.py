@@ -28,7 +28,6 @@ portable("j9_boilerplate_group", "select page_id, grp from (select p.page_id, g.
 portable("j10_language_override", "select page_id, langs from (select p.page_id, g.langs, row_number() over (partition by p.page_id order by length(g.prefix) desc) as r from (select page_id, regexp_extract(url, '^[A-Za-z]+://[^/?#]*([^?#]*)', 1) as path from {pages}) p join (select '/' as prefix, 'en' as langs union all select '/de/', 'de,en' union all select '/fr/8', 'fr') g on p.path like concat(g.prefix, '%')) x where r = 1")
 portable("j14_asset_sizes", "select r.page_id, cast(sum(a.bytes) as bigint) as bytes, count(*) as refs from {page_refs} r left join {assets} a on a.asset_id = r.asset_id group by r.page_id")
 portable("j15_script_reach", "select a.url, count(distinct r.page_id) as pages from {assets} a join {page_refs} r on r.asset_id = a.asset_id where a.ext = '.js' group by a.url")
-portable("j16_word_set_suppression", "select t.doc_id, count(*) as kept from {tokens} t left join (select doc_id, word from {tokens} where length(word) <= 3) s on s.doc_id = t.doc_id and s.word = t.word where s.word is null group by t.doc_id")
 portable("q22_redirects", "select url, hop1 as target from (select a.url, a.target as hop1, b.target as hop2 from {redirects} a join {redirects} b on b.url = a.target) x where hop2 is not null")
 portable("q23_not_found", "select distinct replace(url, ':443', '') as url, '404' as issue_type from {fetch_log} where lower(concat(url, status, message)) like '%notfound%'")
 portable("q20_canonical", "select c.page_id, case when not lower(regexp_extract(c.target, '^[A-Za-z]+://([^/?#]*)', 1)) like '%.example.%' then 'CANONICAL_EXTERNAL' when p.url is null then 'CANONICAL_404' when d.target is not null and d.target <> c.target then 'CANONICAL_CHAIN' else 'ok' end as verdict from {canonicals} c left join {pages} p on lower(p.url) = lower(c.target) left join {canonicals} d on lower(d.url) = lower(c.target)")

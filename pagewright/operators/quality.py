@@ -123,14 +123,9 @@ portable("w1_renumbered", "select page_id, issue_type, detail, case when n > 1 t
 portable("u4_seam_tokens", r"select page_id, count(*) as n from (select distinct page_id, elements(regexp_extract_all(rx_replace(html, '<[^>]*>', ''), r'(\p{L}+)', 1)) as w from {pages_x}) a where not exists (select 1 from (select distinct page_id as p, elements(regexp_extract_all(rx_replace(html, '<[^>]*>', ' '), r'(\p{L}+)', 1)) as v from {pages_x}) b where b.p = a.page_id and b.v = a.w) group by page_id")
 portable("h8_page_language", "select page_id, coalesce(nullif(lower(regexp_extract(html, '<html lang=\"([a-z]{2})', 1)), ''), nullif(lower(regexp_extract(html, 'name=\"language\" content=\"([a-z]{2})', 1)), ''), 'en') as lang from {pages_x}")
 portable("h10_page_text", "select page_id, cast(length(text) as bigint) as n, hex_sha256(text) as h from {page_text}")
-portable("h11_block_text", r"select page_id, count(*) as blocks, cast(sum(length(x)) as bigint) as chars from (select page_id, elements(regexp_extract_all(html, r'<(?:p|h1|li)>([^<]+)', 1)) as x from {pages_x}) t group by page_id")
 portable("h4_attributes", r"select name, count(*) as n from (select elements(regexp_extract_all(html, r'\s([a-z-]+)=\x22[^\x22]*\x22', 1)) as name from {pages_x}) t where name not in ('href', 'class') group by name")
-portable("q26_suspicious_characters", r"select lang, c, count(*) as n from (select lang, elements(regexp_extract_all(word, r'([^a-zà-öø-ÿ])', 1)) as c from {tokens}) t group by lang, c")
-portable("q28_marker_rendering", "select page_id, replace(replace(detail, '​', 'U+200B'), '﻿', 'U+FEFF') as marker from {q17}")
-portable("q29_dictionary_halts", r"select lang, word, n from (select lang, word, cast(row_number() over (partition by lang order by word) as bigint) as n from {lexicon}) t where matches(word, r'[^a-z]')")
 portable("h7_boilerplate_pruned", r"select page_id, cast(length(html) - length(rx_replace(html, r'<div class=\x22ad\x22>[^<]*</div>', '')) as bigint) as cut from {pages_x}")
 portable("h9_language_sets", "select page_id, case when url like '%/de/%' then 'de,en' when url like '%/fr/%' then 'fr' else lang end as langs from (select page_id, url, regexp_extract(html, '<html lang=\"([a-z]+)', 1) as lang from {pages}) t")
-portable("h12_start_tags", r"select tag, count(*) as n from (select elements(regexp_extract_all(html, r'(<[a-z0-9]+ class=[^>]{1,200}>)', 1)) as tag from {pages_x}) t group by tag")
 portable("w9_first_rule", "select issue_type, rule, count(*) as n from {suppressed} group by issue_type, rule")
 
 

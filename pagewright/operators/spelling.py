@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..catalog import query, relation, table
+from ..catalog import native, query, relation, table
 from ..functions import text as T
 from .rules import cases
 
@@ -41,6 +41,7 @@ relation(
 )
 
 
+@native("run_check")
 def run_check(spark, sf_dir):
     """The words that are reported or passed over, each with its run, its place and the first rule that says why.
 
@@ -228,3 +229,120 @@ def u6(spark, sf_dir):
     keys = F.array_union(F.map_keys("m"), F.map_keys("o"))
     rows = o.select("id", F.explode(keys).alias("key"), "m", "o").select("id", "key", F.try_element_at("m", F.col("key")).alias("was"), F.try_element_at("o", F.col("key")).alias("now"))
     return rows.where(~F.col("was").eqNullSafe(F.col("now")))
+
+
+# --- what detectors, spelling and links hand on -------------------------------------------------------------------------------
+
+
+@query("u1_all_findings", "select issue_type as type, cast(page_id as varchar) as place, detail as word from {all_findings} union all select 'REDIRECT', url, target from {redirects} union all select 'SPELLING', cast(doc_id as varchar), word from {run_check} where rule = 'reported' union all select 'SELFLINK', url, href from {anchors} where href = url")
+def u1(spark, sf_dir):
+    """One relation of what every promoter found: type, place and identity word."""
+    f = table(spark, sf_dir, "all_findings").select(F.col("issue_type").alias("type"), F.col("page_id").cast("string").alias("place"), F.col("detail").alias("word"))
+    r = table(spark, sf_dir, "redirects").select(F.lit("REDIRECT").alias("type"), F.col("url").alias("place"), F.col("target").alias("word"))
+    w = run_check(spark, sf_dir).where("rule = 'reported'").select(F.lit("SPELLING").alias("type"), F.col("doc_id").cast("string").alias("place"), "word")
+    a = table(spark, sf_dir, "anchors").where("href = url").select(F.lit("SELFLINK").alias("type"), F.col("url").alias("place"), F.col("href").alias("word"))
+    return f.unionByName(r).unionByName(w).unionByName(a)
+
+
+relation("suppressing", r"select page_id, lower(regexp_extract(detail, '([\p{L}]+)$', 1)) as word from {q10} union select page_id, lower(regexp_extract(detail, '([\p{L}]+)', 1)) from {q15}")
+
+
+@query("j16_word_set_suppression", r"select page_id, count(*) as kept from (select distinct page_id, unnest(regexp_extract_all(lower(text), '([\p{L}]+)', 1)) as word from {page_text}) t where not exists (select 1 from {suppressing} s where s.page_id = t.page_id and s.word = t.word) group by page_id")
+def j16(spark, sf_dir):
+    """A page's words without those that a collision or an unwanted pattern of the same page accounts for."""
+    words = table(spark, sf_dir, "page_text").select("page_id", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"([\p{L}]+)"), F.lit(1)))).alias("word"))
+    last = table(spark, sf_dir, "q10").select("page_id", F.lower(F.regexp_extract("detail", r"([\p{L}]+)$", 1)).alias("word"))
+    first = table(spark, sf_dir, "q15").select("page_id", F.lower(F.regexp_extract("detail", r"([\p{L}]+)", 1)).alias("word"))
+    return words.join(last.union(first).distinct(), ["page_id", "word"], "left_anti").groupBy("page_id").agg(F.count("*").alias("kept"))
+
+
+@query("a16_shared_signature", "select names as signature, count(*) as pages, min(id) as first, max(id) as last from (select id, array_to_string(list_sort(list_distinct(regexp_extract_all(said, 'Set-Cookie: ([^=;~]+)=', 1))), ',') as names from {c_sidecars}) t group by names")
+def a16(spark, sf_dir):
+    """Pages by the set of cookies that came with them."""
+    lines = F.filter(F.split("said", "~"), lambda x: F.startswith(x, F.lit("Set-Cookie: ")))
+    names = F.array_sort(F.array_distinct(F.transform(lines, lambda x: F.regexp_extract(x, "^Set-Cookie: ([^=;]+)=", 1))))
+    return table(spark, sf_dir, "c_sidecars").groupBy(F.array_join(names, ",").alias("signature")).agg(F.count("*").alias("pages"), F.min("id").alias("first"), F.max("id").alias("last"))
+
+
+cases("c_script_runs", "id, said", (1, 'document.getElementById("main")'), (2, 'x = "##name## is here"'), (3, 'querySelectorAll(".item")'), (4, 'alert("plain words")'), (5, 'getElementsByClassName("a b")'), (6, "##only##"))
+
+
+@query("l24_script_exemptions", r"select id, regexp_replace(said, '##[a-z]+##', '', 'g') as kept, regexp_matches(said, '(getElementById|getElementsByClassName|querySelector|querySelectorAll)\(.') as lookup from {c_script_runs}")
+def l24(spark, sf_dir):
+    """Placeholders out of a run of script, and whether the run is the argument of a look-up."""
+    parts = F.split("said", "##")
+    kept = F.array_join(F.filter(parts, lambda x, k: (k % 2 == 0) | ~x.rlike("^[a-z]+$")), "")
+    call = F.substring_index(F.col("said"), "(", 1)
+    lookup = F.contains("said", F.lit("(")) & F.regexp_extract(call, "([A-Za-z]+)$", 1).isin("getElementById", "getElementsByClassName", "querySelector", "querySelectorAll")
+    return table(spark, sf_dir, "c_script_runs").select("id", kept.alias("kept"), lookup.alias("lookup"))
+
+
+_CODES = {c: f"<U+{ord(c):04X}>" for c in T.INVISIBLE}
+_SHOWN = "detail"
+for _c, _said in _CODES.items():
+    _SHOWN = f"replace({_SHOWN}, chr({ord(_c)}), '{_said}')"
+
+
+@query("x23_visible_markers", f"select page_id, {_SHOWN.replace('detail', 'x')} as said from (select page_id, substr(html, instr(html, '<article>')) as x from {{pages_x}}) t")
+def x23(spark, sf_dir):
+    """Invisible characters of a page's article by their code points."""
+    x = F.substring(F.col("html"), F.greatest(F.instr("html", "<article>"), F.lit(1)), F.length("html"))
+    for c, said in _CODES.items():
+        x = F.regexp_replace(x, c, said)
+    return table(spark, sf_dir, "pages_x").select("page_id", x.alias("said"))
+
+
+@query("q28_marker_rendering", f"select page_id, {_SHOWN} as marker, cast(context as bigint) as n from {{q17}}")
+def q28(spark, sf_dir):
+    """The invisible characters of a page by their code points, with their number."""
+    c = F.col("detail")
+    return table(spark, sf_dir, "q17").select("page_id", F.concat(F.lit("<U+"), F.lpad(F.hex(F.ascii(c)), 4, "0"), F.lit(">")).alias("marker"), F.col("context").cast("long").alias("n"))
+
+
+cases("c_settings", "n, said", (1, "plain"), (2, "naïve"), (3, "pаge"), (4, "zero​width"), (5, "x—y"), (6, "日本"), (7, "a1"))
+
+
+@query("q26_suspicious_characters", f"select n, regexp_matches(said, '[^A-Za-zÀ-ÖØ-öø-ÿ]') as strict, regexp_matches(said, '[^\\p{{L}}]') as any_letter, regexp_matches(said, '[{T.INVISIBLE}]') as invisible from {{c_settings}}")
+def q26(spark, sf_dir):
+    """Configured texts in the three modes: letters of the first 256 characters only, any letters, invisible characters only."""
+    signs = F.filter(F.split("said", ""), lambda c: c != "")
+    strict = F.exists(signs, lambda c: ~c.rlike("^[A-Za-zÀ-ÖØ-öø-ÿ]$"))
+    invisible = F.arrays_overlap(signs, F.array(*[F.lit(c) for c in T.INVISIBLE]))
+    return table(spark, sf_dir, "c_settings").select("n", strict.alias("strict"), F.exists(signs, lambda c: ~c.rlike(r"^\p{L}$")).alias("any_letter"), invisible.alias("invisible"))
+
+
+@query("q29_dictionary_halts", "select n, said as line from {c_settings} where regexp_matches(said, '[^A-Za-zÀ-ÖØ-öø-ÿ]')")
+def q29(spark, sf_dir):
+    """The lines of a dictionary that stop it from being used, with their numbers."""
+    return table(spark, sf_dir, "c_settings").where(F.col("said").rlike("[^A-Za-zÀ-ÖØ-öø-ÿ]")).select("n", F.col("said").alias("line"))
+
+
+_BLOCKS_OF_TEXT = r"<(?:p|h[1-6]|li|td|th|dd|dt)(?:\s[^>]*)?>([^<]+)"
+
+
+@query("h11_block_text", f"select page_id, len(m) as blocks, cast(list_sum(list_transform(m, lambda x: length(x))) as bigint) as chars from (select page_id, regexp_extract_all(html, '{_BLOCKS_OF_TEXT}', 1) as m from {{pages_x}}) t where len(m) > 0")
+def h11(spark, sf_dir):
+    """The direct text of a page's block elements."""
+    m = F.regexp_extract_all("html", F.lit(_BLOCKS_OF_TEXT), F.lit(1))
+    return table(spark, sf_dir, "pages_x").select("page_id", m.alias("m")).where(F.size("m") > 0).select("page_id", F.size("m").cast("long").alias("blocks"), F.aggregate("m", F.lit(0).cast("long"), lambda acc, x: acc + F.length(x)).alias("chars"))
+
+
+cases("c_html", "id, html", (1, '<div class="ad big">x</div><p>keep</p>'), (2, '<div class="adx">stays</div>'), (3, '<p>a</p><div id="q" class="left ad">y<b>z</b></div>'), (4, ""), (5, '<DIV class="ad">upper</DIV><div class=" ad ">spaces</div>'))
+_AD = r'<div\s[^>]*class="(?:[^"]*\s)?ad(?:\s[^"]*)?"[^>]*>[^<]*</div>'
+
+
+@query("k12_pruned_html", f"select id, regexp_replace(html, '{_AD}', '', 'g') as pruned from {{c_html}} union all select page_id, regexp_replace(html, '{_AD}', '', 'g') from {{pages_x}}")
+def k12(spark, sf_dir):
+    """Markup without leaf elements that have a class among others."""
+    rows = table(spark, sf_dir, "c_html").union(table(spark, sf_dir, "pages_x").select("page_id", "html"))
+    return rows.select("id", F.regexp_replace("html", _AD, "").alias("pruned"))
+
+
+@query("h12_start_tags", r"""select page_id, tag, count(*) as n from (select page_id, substr('<' || regexp_extract(x, '<([a-z0-9]+)', 1) || case when regexp_extract(x, '\sclass="([^"]*)"', 1) <> '' then ' class="' || regexp_extract(x, '\sclass="([^"]*)"', 1) || '"' else '' end || case when regexp_extract(x, '\sid="([^"]*)"', 1) <> '' then ' id="' || regexp_extract(x, '\sid="([^"]*)"', 1) || '"' else '' end || '>', 1, 200) as tag from (select page_id, unnest(regexp_extract_all(html, '<[a-z0-9]+\s[^>]*>')) as x from {pages_x}) t) u group by all""")
+def h12(spark, sf_dir):
+    """Start tags as they are shown: the name, class and id, 200 characters at most."""
+    x = F.col("x")
+    attribute = lambda k: F.when(F.regexp_extract(x, rf'\s{k}="([^"]*)"', 1) != "", F.concat(F.lit(f' {k}="'), F.regexp_extract(x, rf'\s{k}="([^"]*)"', 1), F.lit('"'))).otherwise("")
+    tags = table(spark, sf_dir, "pages_x").select("page_id", F.explode(F.regexp_extract_all("html", F.lit(r"<[a-z0-9]+\s[^>]*>"), F.lit(0))).alias("x"))
+    said = F.substring(F.concat(F.lit("<"), F.regexp_extract(x, "<([a-z0-9]+)", 1), attribute("class"), attribute("id"), F.lit(">")), 1, 200)
+    return tags.groupBy("page_id", said.alias("tag")).agg(F.count("*").alias("n"))
