@@ -24,7 +24,7 @@ portable("a7_baseline", "select refs, total, js, css from {baseline}")
 portable("w7_over_baseline", "select b.page_id, b.total - s.total as extra, b.js - s.js as extra_js, b.css - s.css as extra_css from {bloat} b cross join {baseline} s where b.total > 2 * s.total")
 portable("a8_frequent_assets", "select asset_id, n, n * 1.0e0 / pages as share from (select asset_id, count(distinct page_id) as n from {page_refs} group by asset_id) a cross join (select count(distinct page_id) as pages from {page_refs}) p where n * 10 >= pages * 9")
 portable("a11_routing", "select url, pages, case when pages > " + str(ROUTED) + " then 'BULK' else 'CLEAR' end as route from (select a.url, count(distinct r.page_id) as pages from {assets} a join {page_refs} r on r.asset_id = a.asset_id where a.ext = '.js' group by a.url) t")
-portable("b1_data_uris", "select page_id, media, cast(length(encoded) as bigint) as encoded_bytes, cast(length(encoded) / 4 * 3 as bigint) as decoded_bytes from {data_uris}".replace("length(encoded) / 4 * 3", "floor(length(encoded) / 4) * 3"))
+portable("b1_data_uris", "select page_id, media, cast(length(encoded) as bigint) as encoded_bytes, cast(floor(length(encoded) / 4) * 3 as bigint) as decoded_bytes from {data_uris}")
 portable("k13_stripped_source", r"select page_id, rx_replace(concat('a:url(data:image/png;base64,', encoded, ')'), r'data:[a-z/]+;base64,[A-Za-z0-9+/=]+', concat('/* BASE64_STRIPPED:', page_id, ' */')) as css from {data_uris}")
 portable("o4_largest_assets", "select page_id, asset_id, bytes, r from (select r.page_id, r.asset_id, a.bytes, cast(row_number() over (partition by r.page_id order by a.bytes desc, r.asset_id) as bigint) as r from {page_refs} r join {assets} a on a.asset_id = r.asset_id) t where r <= 5")
 portable("w5_asset_names", "select page_id, concat(page_id, '__', row_number() over (partition by page_id order by encoded), '.png') as name from {data_uris}")

@@ -25,5 +25,5 @@ portable("a12_status_counts", "select status, count(*) as n from {merged} group
 portable("a24_contexts", "select lower(url) as k, type, count(distinct word) as words, min(word) as first from {merged} group by lower(url), type")
 portable("k11_ticket_text", "select url, concat(url, chr(10), '  ', count(*), ' issues, worst ', min(type), case when count(case when age_found >= 14 then 1 end) > 0 then ', overdue' else '' end) as ticket from {merged} group by url")
 portable("x34_status_rollup", "select type, status, count(*) as n from {ledger_old} group by rollup (type, status)")
-portable("a14_history", "select cast(ts as date) as snapshot, count(*) as files, cast(sum(cast(value as bigint)) as bigint) as size, count(case when event_type = 'error' then 1 end) as hits, count(distinct user_id) as tokens from {events} group by cast(ts as date)".replace("cast(sum(cast(value as bigint)) as bigint) as size", "cast(floor(sum(floor(value))) as bigint) as size"))
+portable("a14_history", "select cast(ts as date) as snapshot, count(*) as files, cast(floor(sum(floor(value))) as bigint) as size, count(case when event_type = 'error' then 1 end) as hits, count(distinct user_id) as tokens from {events} group by cast(ts as date)")
 portable("f17_known_defects", "select m.doc_id, m.word from {everywhere_missing} m join {documents} d on d.doc_id = m.doc_id join (select 'src1' as source, 'th%' as literal union all select 'src2', 'an%') k on k.source = d.source and m.word like k.literal")

@@ -19,7 +19,7 @@ relation("heard", r"select 'en' as lang, elements(distinct_of(regexp_extract_all
 portable("l3_misspellings", "select c.lang, cast(sum(c.n) as bigint) as n, count(*) as words from (select lang, word, count(*) as n from {tokens} group by lang, word) c left join {lexicon} l on l.lang = c.lang and l.word = c.word where l.word is null group by c.lang")
 portable("l4_any_bundle", "select t.doc_id, count(*) as known from {tokens} t join (select distinct word from {lexicon}) l on l.word = t.word group by t.doc_id")
 portable("u5_wrong_in_all_languages", "select doc_id, count(*) as n from {everywhere_missing} group by doc_id")
-portable("l5_stem_candidates", "select m.lang, m.word, min(l.word) as stem from {misses} m join {lexicon} l on l.lang = m.lang and l.word in (substring(m.word, 1, length(m.word) - 1), substring(m.word, 1, length(m.word) - 2), concat(m.word, 's')) where length(m.word) >= 5 group by m.lang, m.word".replace("join {lexicon} l on l.lang = m.lang and l.word in (substring(m.word, 1, length(m.word) - 1), substring(m.word, 1, length(m.word) - 2), concat(m.word, 's')) where length(m.word) >= 5", "join (select lang, word, cand from (select distinct lang, word, substring(word, 1, length(word) - 1) as cand from {misses} where length(word) >= 5 union select lang, word, substring(word, 1, length(word) - 2) from {misses} where length(word) >= 5 union select lang, word, concat(word, 's') from {misses} where length(word) >= 5) u) c on c.lang = m.lang and c.word = m.word join {lexicon} l on l.lang = c.lang and l.word = c.cand"))
+portable("l5_stem_candidates", "select m.lang, m.word, min(l.word) as stem from {misses} m join (select lang, word, cand from (select distinct lang, word, substring(word, 1, length(word) - 1) as cand from {misses} where length(word) >= 5 union select lang, word, substring(word, 1, length(word) - 2) from {misses} where length(word) >= 5 union select lang, word, concat(word, 's') from {misses} where length(word) >= 5) u) c on c.lang = m.lang and c.word = m.word join {lexicon} l on l.lang = c.lang and l.word = c.cand group by m.lang, m.word")
 portable("a9_prose_gate", "select doc_id, line, n, missing from (select t.doc_id, t.line, count(*) as n, count(case when l.word is null then 1 end) as missing from {line_tokens} t left join {lexicon} l on l.lang = t.lang and l.word = t.word group by t.doc_id, t.line) x where missing * 10 < n * 4")
 portable("a10_literal_spread", "select lower(trim(line)) as literal, count(distinct doc_id) as docs, case when count(distinct doc_id) >= 10 then 'site' when count(distinct doc_id) >= 2 then 'some' else 'one' end as tier from {runs} where length(trim(line)) >= 10 group by lower(trim(line)) having count(distinct doc_id) >= 2")
 portable("k10_unique_view", "select distinct word from {everywhere_missing}")
@@ -61,6 +61,6 @@ portable("l17_adjacent_anchor_joins", r"select page_id, rx_replace(x, '</a><a[^>
 portable("l18_delimiter_runs", r"select doc_id, x, count(*) as n from (select doc_id, elements(regexp_extract_all(text, r'([&$%#*]{2,})', 1)) as x from {documents}) t group by doc_id, x")
 portable("l19_script_scan", "select route, count(*) as scripts, cast(sum(pages) as bigint) as pages from (select a.url, count(distinct r.page_id) as pages, case when count(distinct r.page_id) > 30 then 'BULK' else 'CLEAR' end as route from {assets} a join {page_refs} r on r.asset_id = a.asset_id where a.ext = '.js' group by a.url) t group by route")
 portable("l21_dictionary_cleaned", "select lang, min(word) as first, max(word) as last, count(distinct word) as n from {lexicon} where length(word) > 1 group by lang")
-portable("l23_raw_span", "select page_id, instr(html, '&amp;') as at, substring(html, instr(html, '&amp;'), 5) as raw from {pages} where instr(html, '&amp;') > 0".replace("instr(html, '&amp;') as at", "cast(instr(html, '&amp;') as bigint) as at"))
+portable("l23_raw_span", "select page_id, cast(instr(html, '&amp;') as bigint) as at, substring(html, instr(html, '&amp;'), 5) as raw from {pages} where instr(html, '&amp;') > 0")
 portable("l26_excerpt_by_source", "select page_id, case page_id % 3 when 0 then regexp_extract(html, '<title>([^<]*)', 1) when 1 then regexp_extract(html, 'href=\"([^\"]*)', 1) else regexp_extract(html, '<p>([^<]*)', 1) end as excerpt from {pages}")
 portable("l27_suppressing_words", r"select page_id, word, kind from (select page_id, lower(regexp_extract(detail, r'([\p{L}]+)$', 1)) as word, 'collision' as kind from {q10} union all select page_id, lower(detail), 'unwanted' from {q15}) t where word <> '' group by page_id, word, kind")

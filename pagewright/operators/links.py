@@ -9,7 +9,7 @@ from ..catalog import portable, query, relation, table
 _NORM = "rx_replace(rx_replace(trim(url), '[?#].*$', ''), '/+$', '')"
 relation("parsed_lines", "select pos, trim(split_part(line, '|', 1)) as c1, trim(split_part(line, '|', 2)) as c2, trim(split_part(line, '|', 3)) as c3, trim(split_part(line, '|', 4)) as c4, trim(split_part(line, '|', 5)) as c5, trim(split_part(line, '|', 6)) as c6, array_length(cut(rx_replace(line, '[|]', '~'), '~')) as n from {fetch_lines}")
 relation("redirects", f"select url, target, pos from (select {_NORM} as url, {_NORM.replace('url', 'message')} as target, pos, row_number() over (partition by {_NORM} order by pos) as r from {{fetch_log}} where status in ('Found', 'MovedPermanently')) x where r = 1")
-relation("anchors", "select page_id, url, elements(regexp_extract_all(html, r'<a\\s[^>]*href=\"([^\"]*)\"', 1)) as href from {pages_x}".replace("\\\\", "\\"))
+relation("anchors", r"""select page_id, url, elements(regexp_extract_all(html, r'<a\s[^>]*href="([^"]*)"', 1)) as href from {pages_x}""")
 relation("canonicals", "select page_id, url, regexp_extract(html, r'<link rel=\"canonical\" href=\"([^\"]*)\"', 1) as target from {pages_x} where html like '%rel=\"canonical\"%'")
 
 portable("s1_corpus_scan", "select page_id, url, cast(length(html) as bigint) as n_chars from {pages} where url like 'https://%'")

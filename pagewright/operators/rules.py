@@ -115,7 +115,7 @@ def x28(spark, sf_dir):
 cases("c_templates", "said, kind, url, n", ("{n} x {kind}~~~~at {url}", "LIGATURE", "/a", 2), ("{kind}~{word}~{url}", "404", "/b", 1), ("~~{url}", "SEO", "/c", 0), ("none", "x", "/d", 3))
 
 
-@query("x45_template", "select url, trim(regexp_replace(regexp_replace(regexp_replace(replace(replace(replace(replace(said, '~', chr(10)), '{{kind}}', kind), '{{url}}', url), '{{n}}', cast(n as varchar)), '[^\\n]*\\{{[a-z]+\\}}[^\\n]*', '', 'g'), '\\n\\n+', chr(10), 'g'), '^\\n', '')) as filled from {c_templates}".replace("{{", "{").replace("}}", "}"))
+@query("x45_template", r"select url, trim(regexp_replace(regexp_replace(regexp_replace(replace(replace(replace(replace(said, '~', chr(10)), '{kind}', kind), '{url}', url), '{n}', cast(n as varchar)), '[^\n]*\{[a-z]+\}[^\n]*', '', 'g'), '\n\n+', chr(10), 'g'), '^\n', '')) as filled from {c_templates}")
 def x45(spark, sf_dir):
     """Names filled in, lines with a name that nothing fills left out, blank lines collapsed."""
     t = _lines("said")

@@ -93,9 +93,9 @@ portable("x32_truncate", "select doc_id, case when length(line) > 40 then concat
 portable("f15_plausible_file", r"select page_id, length(file) <= 260 and not matches(file, r'^[- ]|[\s\x00-\x1f]') as ok from {page_index}")
 portable("x41_bytes", "select asset_id, cast(floor(bytes / 1024) as bigint) as kb, concat(cast(floor(bytes / 1024) as bigint), ' kB') as said from {assets}")
 portable("l2_word_identifier", r"select lang, count(case when matches(word, r'^[\p{L}\p{M}-]+$') then 1 end) as words, count(*) as n from {tokens} group by lang")
-portable("l16_anchor_split", r"select page_id, head, tail from (select page_id, elements(regexp_extract_all(html, r'(\p{L}+)</a>\p{L}+', 1)) as head, elements(regexp_extract_all(html, r'\p{L}+</a>(\p{L}+)', 1)) as tail from {pages_x}) t where length(tail) = 1".replace("(select page_id, elements(regexp_extract_all(html, r'(\\p{L}+)</a>\\p{L}+', 1)) as head, elements(regexp_extract_all(html, r'\\p{L}+</a>(\\p{L}+)', 1)) as tail from {pages_x}) t", "(select page_id, regexp_extract(s, r'^(\\p{L}+)', 1) as head, regexp_extract(s, r'>(\\p{L}+)$', 1) as tail from (select page_id, elements(regexp_extract_all(html, r'(\\p{L}+</a>\\p{L}+)', 1)) as s from {pages_x}) u) t"))
+portable("l16_anchor_split", r"select page_id, head, tail from (select page_id, regexp_extract(s, r'^(\p{L}+)', 1) as head, regexp_extract(s, r'>(\p{L}+)$', 1) as tail from (select page_id, elements(regexp_extract_all(html, r'(\p{L}+</a>\p{L}+)', 1)) as s from {pages_x}) u) t where length(tail) = 1")
 portable("l29_language_family", "select lang, count(*) as n from {documents} where lang = 'en' or lang like 'en-%' or lang like 'd%' group by lang")
 portable("x26_element_snippet", "select page_id, substring(html, greatest(instr(html, '<h1>') - 20, 1), 80) as snippet from {pages} where instr(html, '<h1>') > 0")
 portable("x27_script_context", r"select page_id, rx_replace(s, r'\s+', ' ') as context from (select page_id, regexp_extract(html, r'<script>([^<]*)', 1) as s from {pages}) t where s <> ''")
 portable("l9_data_attributes", r"select v, case when matches(v, r'^[.#][A-Za-z]') then 'css_selector' when matches(v, r'^[a-z0-9]+(-[a-z0-9]+){2,}$') then 'slug' when matches(v, r'^[A-Za-z][A-Za-z0-9_-]* [A-Za-z][A-Za-z0-9_-]*[0-9]$') then 'id_list' else 'check' end as verdict from (select distinct case page_id % 4 when 0 then concat('#p', page_id) when 1 then concat('a-b-', page_id) when 2 then concat('one two', page_id) else 'prose' end as v from {pages}) t")
-portable("l10_script_literals", r"select event_id, case when lit in ('click', 'value', 'none', 'body', 'iframe') then 'vocabulary' when matches(lit, r'^[a-z]+=[^,;&]*([,;&][a-z]+=[^,;&]*)*$') then 'options' when matches(lit, r'</?[A-Za-z]') then 'markup' when lit like '\_%' escape '\' then 'underscore' when matches(lit, r'^[A-Z]{2,6}$') then 'acronym' else 'check' end as verdict from (select event_id, case event_id % 6 when 0 then event_type when 1 then concat('k=', event_id, ',b=no') when 2 then '<div' when 3 then 'ABC' when 4 then 'some words' else 'click' end as lit from {events}) t".replace(r" when lit like '\_%' escape '\' then 'underscore'", ""))
+portable("l10_script_literals", "select event_id, case when lit in ('click', 'value', 'none', 'body', 'iframe') then 'vocabulary' when matches(lit, r'^[a-z]+=[^,;&]*([,;&][a-z]+=[^,;&]*)*$') then 'options' when matches(lit, r'</?[A-Za-z]') then 'markup' when matches(lit, r'^[A-Z]{2,6}$') then 'acronym' else 'check' end as verdict from (select event_id, case event_id % 6 when 0 then event_type when 1 then concat('k=', event_id, ',b=no') when 2 then '<div' when 3 then 'ABC' when 4 then 'some words' else 'click' end as lit from {events}) t")

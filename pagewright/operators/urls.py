@@ -69,7 +69,7 @@ portable("f6_crawlable_scheme", "select page_id, lower(split_part(url, '://', 1)
 portable("f13_requested_kind", r"with e as (select page_id, url, lower(regexp_extract(regexp_extract(url, r'^[A-Za-z]+://[^/?#]*([^?#]*)', 1), r'(\.[^./]*)$', 1)) as ext from {pages}) select page_id, ext, ext in ('', '.htm', '.html') as looks_html, ext = '.pdf' as looks_pdf from e")
 portable("x4_fetch_form", "select page_id, case when lower(url) like '%page=2%' then regexp_extract(url, 'page=([^&#]*)', 1) else split_part(url, '?', 1) end as fetched from {pages}")
 portable("x8_bloat_ref", "select asset_id, lower(rx_replace(concat(url, '?v=', bytes), r'[?#].*$', '')) as ref from {assets}")
-portable("x9_short_names", "select page_id, rx_replace(file, '^[0-9a-f]{64}', '') as short, rx_replace(concat('a.', substring(file, 1, 32), '.js'), r'\\.[0-9a-f]{32}', '') as busted from {page_index}".replace(r"\\.", r"\."))
+portable("x9_short_names", r"select page_id, rx_replace(file, '^[0-9a-f]{64}', '') as short, rx_replace(concat('a.', substring(file, 1, 32), '.js'), r'\.[0-9a-f]{32}', '') as busted from {page_index}")
 portable("x12_url_path", "select page_id, regexp_extract(url, '^[A-Za-z]+://[^/?#]*([^?#]*)', 1) as path from {pages}")
 portable("x14_redirect_target", "select pos, case when message like 'Response status code does not indicate success%' then null when message like '%://%' then regexp_extract(message, r'([^ ]*://[^ ]*)', 1) else trim(message) end as target from {fetch_log}")
 portable("x15_redirect_status", "select pos, lower(trim(status)) in ('found', 'movedpermanently') as redirect from {fetch_log}")
