@@ -226,3 +226,23 @@ def b3(spark, sf_dir):
     png, gif = F.startswith("h", F.lit("89504E47")), F.startswith("h", F.lit("47494638"))
     rows = table(spark, sf_dir, "c_images").select("id", F.when(png, big(17)).when(gif, little(7)).alias("w"), F.when(png, big(21)).when(gif, little(9)).alias("h"))
     return rows.withColumn("verdict", F.when(F.col("w").isNull(), "unknown").when((F.col("w") <= 1) | (F.col("h") <= 1), "DEGENERATE").when((F.col("w") > 5000) | (F.col("h") > 5000), "HUGE").otherwise("ok"))
+
+
+@query("b11_asset_findings", "select url, 'CONTENT_LENGTH_MISMATCH' as issue from {assets} where asset_id % 10 = 0 and not url like '%/a/7%' union all select url, 'OVERSIZED_IMAGE' from {assets} where asset_id % 10 <> 0 and bytes > 1048576 and not url like '%/a/7%' union all select url, 'METADATA' from {assets} where asset_id % 4 = 1")
+def b11(spark, sf_dir):
+    """Everything said of an asset in one pass: sizes unless it is excluded, metadata always; a mismatch of lengths goes before the size."""
+    a = table(spark, sf_dir, "assets").withColumn("declared", F.when(F.col("asset_id") % 10 == 0, F.col("bytes") - 1).otherwise(F.col("bytes")))
+    measured = ~F.contains("url", F.lit("/a/7"))
+    size = F.when(F.col("declared") != F.col("bytes"), "CONTENT_LENGTH_MISMATCH").when(F.col("bytes") > 1 << 20, "OVERSIZED_IMAGE")
+    found = F.array_compact(F.array(F.when(measured, size), F.when(F.col("asset_id") % 4 == 1, "METADATA")))
+    return a.select("url", F.explode(found).alias("issue"))
+
+
+cases("c_blocks", "id, said, class", (1, "nav", "menu top"), (2, "main", "content"), (3, "ad", "top menu big"), (4, "none", ""))
+
+
+@query("h5_pruned_blocks", "select id from {c_blocks} where said not in ('style', 'script', 'nav') and not list_has_all(string_split(class, ' '), ['menu', 'top'])")
+def h5(spark, sf_dir):
+    """Blocks that neither their tag nor a set of class tokens, all of which they have, takes out."""
+    boilerplate = F.size(F.array_except(F.array(F.lit("menu"), F.lit("top")), F.split("class", " "))) == 0
+    return table(spark, sf_dir, "c_blocks").where(~F.col("said").isin("style", "script", "nav") & ~boilerplate).select("id")
