@@ -130,11 +130,11 @@ def personal_data(df: DataFrame) -> DataFrame:
 
 
 def digest(found: DataFrame) -> DataFrame:
-    """The counts, the base spans' hash and all spans as text."""
+    """The counts, the base spans' hash, all spans as text and how many base spans there are."""
     said = F.transform("spans", lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string")))
     base = F.transform(F.filter("spans", lambda x: x["kind"].isin(*KINDS)), lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string")))
     counts = [F.size(F.expr(f"filter(spans, x -> x.kind = '{k}')")).cast("long").alias(f"n_{k}") for k in KINDS]
-    return found.select("doc_id", *counts, F.sha2(F.array_join(base, ","), 256).alias("base_sha256"), F.array_join(said, ",").alias("spans"))
+    return found.select("doc_id", *counts, F.sha2(F.array_join(base, ","), 256).alias("base_sha256"), F.array_join(said, ",").alias("spans"), F.size(base).cast("long").alias("n_private"))
 
 
 def base_hash(spans: list[tuple[str, int, int]]) -> str:

@@ -95,13 +95,23 @@ def with_fingerprints(df: DataFrame, shingle: int, words: int, *keep: str) -> Da
     return src.mapInArrow(run, f"{kinds}, id long, " + ", ".join(f"{x} long" for x in names))
 
 
-def pigeonhole_keys(fps: DataFrame, distance: int) -> DataFrame:
-    """(key, f0): with distance + 2 blocks, two fingerprints that differ in `distance` bits at most agree on two; a key for each two."""
-    n = distance + 2
+def agreeing(fingerprints: int) -> int:
+    """Blocks that a key holds: the more fingerprints, the more bits a key needs so that few share it by chance (21, 27 or 32)."""
+    return 2 if fingerprints <= 1 << 22 else 3 if fingerprints <= 1 << 28 else 4
+
+
+def pigeonhole_keys(fps: DataFrame, distance: int, agree: int = 2) -> DataFrame:
+    """(key, f0): with distance + agree blocks, two fingerprints that differ in `distance` bits at most are equal in `agree` of them; a key for each such choice."""
+    n = distance + agree
     edges = [64 * k // n for k in range(n + 1)]
     part = [F.shiftrightunsigned("f0", a).bitwiseAND(F.lit((1 << (b - a)) - 1)) for a, b in zip(edges[:-1], edges[1:], strict=True)]
     wide = max(b - a for a, b in zip(edges[:-1], edges[1:], strict=True))
-    keys = [F.shiftleft(F.lit(k).cast("long"), 2 * wide).bitwiseOR(F.shiftleft(part[x], wide)).bitwiseOR(part[y]) for k, (x, y) in enumerate(combinations(range(n), 2))]
+    keys = []
+    for k, blocks in enumerate(combinations(range(n), agree)):
+        key = F.lit(k).cast("long")
+        for x in blocks:
+            key = F.shiftleft(key, wide).bitwiseOR(part[x])
+        keys.append(key)
     return fps.select(F.explode(F.array(*keys)).alias("key"), "f0")
 
 
@@ -174,10 +184,15 @@ def _classes(df: DataFrame, shingle: int, words: int, distance: int, keys) -> Da
     names = [f"f{k}" for k in range(words)]
     least = checkpoint(base.groupBy("id", *names).agg(F.min("doc_id").alias("least")))
     roots = components(hamming_links(keys(least), words, distance))
+    return base.join(_smallest(least, roots), "id").select("doc_id", "f0", "component_id")
+
+
+def _smallest(least: DataFrame, roots: DataFrame) -> DataFrame:
+    """(id, component_id) from (id, least) and the components' (node, root): only components of several ids are grouped, whose rows stay where they are if these are few."""
     linked = least.join(roots, least["id"] == roots["node"], "left").select("id", "least", F.coalesce("root", "id").alias("root"))
-    smallest = linked.groupBy("root").agg(F.min("least").alias("component_id"))
-    found = linked.select("id", "root").join(smallest, "root").select("id", "component_id")
-    return base.join(found, "id").select("doc_id", "f0", "component_id")
+    several = checkpoint(roots.select("root").distinct())
+    smallest = checkpoint(linked.join(sized(several), "root", "left_semi").groupBy("root").agg(F.min("least").alias("component_id")))
+    return linked.join(sized(smallest), "root", "left").select("id", F.coalesce("component_id", "least").alias("component_id"))
 
 
 def near_duplicates(df: DataFrame, shingle: int = 5, distance: int = 4, id_column: str = "doc_id") -> DataFrame:
@@ -187,7 +202,7 @@ def near_duplicates(df: DataFrame, shingle: int = 5, distance: int = 4, id_colum
     text has fingerprint zero and links like any other; repeated rows each come back; a null id stays null and is
     never a component's id unless it has no other. An empty table gives an empty result. Other columns are not read.
     """
-    out = _classes(df.select(F.col(id_column).alias("doc_id"), "text"), shingle, 1, distance, lambda fps: pigeonhole_keys(fps, distance))
+    out = _classes(df.select(F.col(id_column).alias("doc_id"), "text"), shingle, 1, distance, lambda fps: pigeonhole_keys(fps, distance, agreeing(fps.count())))
     return out.select(F.col("doc_id").alias(id_column), F.lower(F.lpad(F.hex("f0"), 16, "0")).alias("fingerprint"), "component_id")
 
 
@@ -240,37 +255,53 @@ def _verified(pairs: DataFrame, df: DataFrame, shingle: int, similarity: float)
     """The pairs (a, b) of sets whose exact Jaccard similarity is enough."""
     nodes = checkpoint(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
     grams = checkpoint(_grams(df, shingle).join(sized(nodes), "id", "left_semi").dropDuplicates(["id"]))
-    x, y = grams.select(F.col("id").alias("a"), F.col("grams").alias("x")), grams.select(F.col("id").alias("b"), F.col("grams").alias("y"))
+    # A pair is brought to b's set first; the sets of the a's, which are few where many are compared with one, come to it by broadcast then.
+    few = checkpoint(grams.join(pairs.select(F.col("a").alias("id")).distinct(), "id", "left_semi").select(F.col("id").alias("a"), F.col("grams").alias("x")))
+    y = grams.select(F.col("id").alias("b"), F.col("grams").alias("y"))
     both = F.size(F.array_intersect("x", "y"))
-    return checkpoint(pairs.join(x, "a").join(y, "b").where(both >= similarity * (F.size("x") + F.size("y") - both) - 1e-9).select("a", "b"))
+    return checkpoint(pairs.join(y, "b").join(sized(few), "a").where(both >= similarity * (F.size("x") + F.size("y") - both) - 1e-9).select("a", "b"))
+
+
+def _open(shared: DataFrame, roots: DataFrame) -> DataFrame:
+    """The rows of the keys whose sets are in several components, with their roots."""
+    labelled = shared.join(roots, shared["id"] == roots["node"], "left").select("key", "id", "n", "c", F.coalesce("root", "id").alias("root"))
+    several = labelled.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
+    return labelled.join(several, "key", "left_semi")
 
 
 def similar(df: DataFrame, shingle: int = 5, similarity: float = 0.8, bands: int = 40, rows: int = 5) -> DataFrame:
     """doc_id and component_id over links of that similarity (Jaccard, of sets of shingles) or more.
 
     MinHash only proposes pairs: `bands` keys of `rows` minima each, of which sets of similarity 0.8 share one but
-    with probability 2e-7. Every link is verified on the whole sets. First each set is compared with the least of
-    each of its keys, then all pairs that share a key and are not in one component yet, so a large group of
-    copies gives no square of pairs. Texts without a word are equal; rows are treated as in near_duplicates.
+    with probability 2e-7. Every link is verified on the whole sets. First sets are compared with the least of a few
+    of their keys, then of ever more, but for those already in one component with it; then all pairs that share a key and
+    are not in one component yet. So a large group of copies, or of near copies, is joined by a few pairs of each.
+    Texts without a word are equal; rows are treated as in near_duplicates.
     """
     base = checkpoint(_signatures(df, shingle, bands, rows))
     sets = checkpoint(base.groupBy("id", "n").agg(F.min("doc_id").alias("least"), F.first("bands").alias("bands")))
-    keyed = sets.select("id", "n", F.posexplode("bands").alias("band", "value")).select(F.xxhash64("band", "value").alias("key"), "id", "n")
+    keyed = sets.select("id", "n", F.posexplode("bands").alias("band", "value")).select(F.xxhash64("band", "value").alias("key"), "band", "id", "n")
     many = checkpoint(keyed.groupBy("key").agg(F.min(F.struct("id", "n")).alias("first"), F.count("*").alias("c")).where("c > 1"))
     shared = checkpoint(keyed.join(sized(many), "key"))
     alike = lambda x, y: F.least(x, y) >= similarity * F.greatest(x, y) - 1e-9
-    tried = checkpoint(shared.where(F.col("id") != F.col("first.id")).where(alike(F.col("n"), F.col("first.n"))).select(F.col("first.id").alias("a"), F.col("id").alias("b")).distinct())
-    links = _verified(tried, df, shingle, similarity)
-    roots = components(links)
-    labelled = shared.join(roots, shared["id"] == roots["node"], "left").select("key", "id", "n", "c", F.coalesce("root", "id").alias("root"))
-    mixed = labelled.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
-    open_ = checkpoint(labelled.join(mixed, "key", "left_semi").withColumn("chunks", F.ceil(F.col("c") / CHUNK).cast("int")))
+    stars = shared.where(F.col("id") != F.col("first.id")).where(alike(F.col("n"), F.col("first.n"))).select("band", F.col("first.id").alias("a"), F.col("id").alias("b"))
+    roots = tried = links = None
+    for low, high in ((0, 1), (1, 6), (6, bands)):
+        pairs = stars.where((F.col("band") >= low) & (F.col("band") < high)).select("a", "b").distinct()
+        if roots is not None:
+            known = sized(roots)
+            pairs = pairs.join(known.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a", "left").join(known.select(F.col("node").alias("b"), F.col("root").alias("rb")), "b", "left")
+            pairs = pairs.where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b").join(tried, ["a", "b"], "left_anti")
+        pairs = checkpoint(pairs)
+        found = _verified(pairs, df, shingle, similarity)
+        tried, links = (pairs, found) if tried is None else (tried.unionByName(pairs), links.unionByName(found))
+        roots = checkpoint(components(links))
+    shared = shared.select("key", "id", "n", "c")
+    open_ = checkpoint(_open(shared, roots).withColumn("chunks", F.ceil(F.col("c") / CHUNK).cast("int")))
     left = open_.select("key", F.col("id").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"), F.pmod("id", F.col("chunks").cast("long")).cast("int").alias("chunk"))
     right = open_.select("key", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"))
     rest = left.join(right, ["key", "chunk"]).where((F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & alike(F.col("na"), F.col("nb"))).select("a", "b").distinct()
     rest = checkpoint(rest.join(tried, ["a", "b"], "left_anti"))
     if not rest.isEmpty():
         roots = components(links.unionByName(_verified(rest, df, shingle, similarity)))
-    linked = sets.join(roots, sets["id"] == roots["node"], "left").select("id", "least", F.coalesce("root", "id").alias("root"))
-    smallest = linked.groupBy("root").agg(F.min("least").alias("component_id"))
-    return base.join(linked.select("id", "root").join(smallest, "root").select("id", "component_id"), "id").select("doc_id", "component_id")
+    return base.join(_smallest(sets, roots), "id").select("doc_id", "component_id")
