@@ -1,8 +1,9 @@
-"""Near duplicates: SimHash with pigeonhole blocks and exact Hamming distances; MinHash candidates with exact shingle similarity."""
+"""Near duplicates: SimHash with pigeonhole blocks and exact Hamming distances; wide SimHash fingerprints that propose, with exact shingle similarity."""
 
 from __future__ import annotations
 
 from itertools import combinations
+from math import acos, ceil, log, log2, pi, sqrt
 
 import numpy as np
 import pyarrow as pa
@@ -14,6 +15,16 @@ from .common import checkpoint, components, grouped, mixed, sized, slices, xxh64
 SEED = 42
 #: Rows of a block's bucket compared in one task; a larger bucket is cut into such chunks, which are compared pair by pair.
 CHUNK = 2048
+#: Words of the fingerprints that propose similar sets.
+WORDS = 4
+#: Sets that a key of such fingerprints is to hold, about, and the size from which it is cut into chunks.
+HELD, HELD_MOST = 4096, 1 << 15
+#: Tables within a key, and their bits.
+TABLES, TABLE_BITS = 24, 10
+#: Sets of a group whose shingles are compared in one task, cut like CHUNK.
+SETS = 512
+#: Shingles of a set up to which its fingerprint says too little; such sets get keys of single shingles as well.
+SHORT = 16
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
@@ -165,17 +176,21 @@ def hamming_links(rows: DataFrame, words: int, distance: int) -> DataFrame:
     of their own, so that no task holds more than two chunks whatever the size of the bucket.
     """
     names = [f"f{k}" for k in range(words)]
-    hot = checkpoint(rows.groupBy("key").count().where(F.col("count") > CHUNK).select("key", F.ceil(F.col("count") / CHUNK).cast("int").alias("n")))
-    n = hot.count()
-    if n:
-        rows = rows.join(sized(hot), "key", "left").withColumn("n", F.coalesce("n", F.lit(1)))
-        rows = rows.withColumn("c", F.pmod(F.xxhash64(*names), F.col("n").cast("long")).cast("int"))
-        rows = rows.select(*names, "key", "c", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("o"))
+    return _chunked(rows.select("key", *names), F.xxhash64(*names), CHUNK).mapInArrow(_links(distance, words), "a long, b long")
+
+
+def _chunked(rows: DataFrame, spread, chunk: int) -> DataFrame:
+    """The rows by key and two chunks i <= j, sorted so; a key of over `chunk` rows is cut by `spread`, and each two chunks meet."""
+    names = [c for c in rows.columns if c != "key"]
+    hot = checkpoint(rows.groupBy("key").count().where(F.col("count") > chunk).select("key", F.ceil(F.col("count") / chunk).cast("int").alias("chunks")))
+    if hot.count():
+        rows = rows.join(sized(hot), "key", "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
+        rows = rows.withColumn("c", F.pmod(spread, F.col("chunks").cast("long")).cast("int"))
+        rows = rows.select(*names, "key", "c", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("o"))
         rows = rows.select(*names, "key", F.least("c", "o").alias("i"), F.greatest("c", "o").alias("j"))
     else:
         rows = rows.select(*names, "key", F.lit(0).alias("i"), F.lit(0).alias("j"))
-    rows = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    return rows.mapInArrow(_links(distance, words), "a long, b long")
+    return rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
 
 
 def _classes(df: DataFrame, shingle: int, words: int, distance: int, keys) -> DataFrame:
@@ -220,23 +235,26 @@ def _set_ids(h: np.ndarray, cut: np.ndarray) -> np.ndarray:
     return xxh64(np.ascontiguousarray(h).view(np.uint8), 8 * cut[:-1], 8 * np.diff(cut), SEED).view(np.int64)
 
 
-def _signatures(df: DataFrame, shingle: int, bands: int, rows: int) -> DataFrame:
-    """doc_id, id (of the set of shingles), n (shingles of it) and bands (a MinHash key each; none without shingles)."""
-    odd = np.random.default_rng(SEED).integers(0, 1 << 63, bands * rows).astype(np.uint64) * np.uint64(2) + np.uint64(1)
+def _signatures(df: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """doc_id, id (of the set of shingles), n (shingles of it), its fingerprint f0, f1, ..., and prefix (the least shingles of short sets).
+
+    Two sets of a similarity of s or more share one of the n - ceil(s n) + 1 least shingles of each.
+    """
+    names = [f"f{k}" for k in range(WORDS)]
 
     def run(batches):
         for b in batches:
-            for at, n, data, offsets in slices(b, 0, 1 << 20):
+            for at, many, data, offsets in slices(b, 0, 1 << 20):
                 h, cut = _sets(*shingles(data, offsets, shingle))
-                full = np.flatnonzero(np.diff(cut))
-                key = np.zeros((n, bands), np.uint64)
-                for k, a in enumerate(odd if len(full) else []):
-                    low = np.minimum.reduceat(h * a, cut[:-1][full])
-                    key[full, k // rows] = mixed(key[full, k // rows] + low + np.uint64(k))
-                keys = pa.ListArray.from_arrays(pa.array(np.cumsum(np.concatenate([[0], np.where(np.diff(cut) > 0, bands, 0)])), pa.int32()), pa.array(key[full].ravel().view(np.int64)))
-                yield pa.RecordBatch.from_arrays([b.column(1).slice(at, n), pa.array(_set_ids(h, cut)), pa.array(np.diff(cut).astype(np.int64)), keys], ["doc_id", "id", "n", "bands"])
+                n = np.diff(cut)
+                fps = [np.packbits(_bits(h if k == 0 else mixed(h + np.uint64(k * 0x9E3779B97F4A7C15 % (1 << 64))), cut) * 2 > n[:, None], axis=1, bitorder="little").view(np.int64).ravel() for k in range(WORDS)]
+                least = np.where(n <= SHORT / similarity, n - np.ceil(similarity * n - 1e-9).astype(np.int64) + (n > 0), 0)
+                to = np.concatenate([[0], np.cumsum(least)])
+                prefix = h[np.repeat(cut[:-1] - to[:-1], least) + np.arange(to[-1])]
+                yield pa.RecordBatch.from_arrays([b.column(1).slice(at, many), pa.array(_set_ids(h, cut)), pa.array(n.astype(np.int64)), *map(pa.array, fps), pa.ListArray.from_arrays(pa.array(to, pa.int32()), pa.array(prefix.view(np.int64)))], ["doc_id", "id", "n", *names, "prefix"])
 
-    return df.select("text", "doc_id").mapInArrow(run, f"doc_id {df.schema['doc_id'].dataType.simpleString()}, id long, n long, bands array<long>")
+    kinds = ", ".join(f"{x} long" for x in names)
+    return df.select("text", "doc_id").mapInArrow(run, f"doc_id {df.schema['doc_id'].dataType.simpleString()}, id long, n long, {kinds}, prefix array<long>")
 
 
 def _grams(df: DataFrame, shingle: int) -> DataFrame:
@@ -251,57 +269,179 @@ def _grams(df: DataFrame, shingle: int) -> DataFrame:
     return df.select("text").mapInArrow(run, "id long, grams array<long>")
 
 
-def _verified(pairs: DataFrame, df: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """The pairs (a, b) of sets whose exact Jaccard similarity is enough."""
-    nodes = checkpoint(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
-    grams = checkpoint(_grams(df, shingle).join(sized(nodes), "id", "left_semi").dropDuplicates(["id"]))
-    # A pair is brought to b's set first; the sets of the a's, which are few where many are compared with one, come to it by broadcast then.
-    few = checkpoint(grams.join(pairs.select(F.col("a").alias("id")).distinct(), "id", "left_semi").select(F.col("id").alias("a"), F.col("grams").alias("x")))
-    y = grams.select(F.col("id").alias("b"), F.col("grams").alias("y"))
-    both = F.size(F.array_intersect("x", "y"))
-    return checkpoint(pairs.join(y, "b").join(sized(few), "a").where(both >= similarity * (F.size("x") + F.size("y") - both) - 1e-9).select("a", "b"))
+def differing(similarity: float) -> float:
+    """The share of bits in which the fingerprints of two sets of that similarity differ: the angle of the sets, in half turns."""
+    return acos(2 * similarity / (1 + similarity)) / pi
+
+
+def key_bits(sets: int) -> int:
+    """The bits of a key, so that it holds HELD of so many sets."""
+    return max(0, ceil(log2(max(1, sets) / HELD)))
+
+
+def key_groups(bits: int, similarity: float, missed: float = 1e-6) -> int:
+    """Keys a set gets so that two sets of that similarity share a table of none with a probability of `missed`."""
+    same = 1 - differing(similarity)
+    found = same**bits * (1 - (1 - same**TABLE_BITS) ** TABLES)
+    return ceil(log(missed) / log(1 - found))
+
+
+def _sampled(bits: int, groups: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """The bits of each group's key and those of each of its tables."""
+    rng = np.random.default_rng(SEED)
+    picks = [rng.permutation(64 * WORDS) for _ in range(groups)]
+    return [(p[:bits], np.stack([rng.permutation(p[bits:])[:TABLE_BITS] for _ in range(TABLES)])) for p in picks]
+
+
+def _value(fps: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The bits `at` of each fingerprint, as a number."""
+    out = np.zeros(len(fps), np.int64)
+    for x in at.tolist():
+        out = out << 1 | (fps[:, x >> 6] >> np.uint64(x & 63) & np.uint64(1)).astype(np.int64)
+    return out
+
+
+def similarity_keys(sets: DataFrame, bits: int, groups: int) -> DataFrame:
+    """key, id, n, f0, f1, ...: a row for each group's key (not negative) and for each shingle of the prefix (negative)."""
+    names = [f"f{k}" for k in range(WORDS)]
+    picks = [at for at, _ in _sampled(bits, groups)]
 
+    def run(batches):
+        for b in batches:
+            full = np.flatnonzero(b.column("n").to_numpy() > 0)
+            b = b.take(pa.array(full))
+            fps = np.stack([b.column(x).to_numpy().view(np.uint64) for x in names], 1)
+            prefix = b.column("prefix")
+            own = np.repeat(np.arange(len(full)), prefix.value_lengths().to_numpy())
+            single = prefix.flatten().to_numpy() | np.int64(-(1 << 63))
+            rest = b.select(["id", "n", *names])
+            for g, at in enumerate(picks):
+                yield pa.RecordBatch.from_arrays([pa.array(_value(fps, at) | g << 40), *rest.columns], ["key", "id", "n", *names])
+            if len(own):
+                yield pa.RecordBatch.from_arrays([pa.array(single), *rest.take(pa.array(own)).columns], ["key", "id", "n", *names])
+
+    return sets.select("id", "n", *names, "prefix").mapInArrow(run, "key long, id long, n long, " + ", ".join(f"{x} long" for x in names))
+
+
+def _join(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Labels (each the least row of its class) after the classes of a[i] and b[i] are made one."""
+    while True:
+        x, y = label[a], label[b]
+        if (x == y).all():
+            return label
+        np.minimum.at(label, np.maximum(x, y), np.minimum(x, y))
+        while (up := label[label]).tobytes() != label.tobytes():
+            label = up
+
+
+def _stars(ids: np.ndarray, label: np.ndarray):
+    several = np.flatnonzero(label != np.arange(len(label)))
+    return pa.RecordBatch.from_arrays([pa.array(ids[label[several]]), pa.array(ids[several])], ["a", "b"])
+
+
+def _proposed(similarity: float, bits: int, groups: int):
+    """(a, b) that span the components of the sets near one another by fingerprint that share a table of a key."""
+    picks = [tables for _, tables in _sampled(bits, groups)]
+    share = differing(similarity)
+    # 4.5 standard deviations; sets of few shingles differ more (four of five have 0.1875).
+    most = [ceil(64 * WORDS * x + 4.5 * sqrt(64 * WORDS * x * (1 - x))) for x in (share, max(share, 0.1875))]
 
-def _open(shared: DataFrame, roots: DataFrame) -> DataFrame:
-    """The rows of the keys whose sets are in several components, with their roots."""
-    labelled = shared.join(roots, shared["id"] == roots["node"], "left").select("key", "id", "n", "c", F.coalesce("root", "id").alias("root"))
-    several = labelled.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
-    return labelled.join(several, "key", "left_semi")
+    def run(batches):
+        for t, cut in grouped(batches, ["key", "i", "j"], 2 * HELD_MOST):
+            keys, ids_, n_ = (t[x].combine_chunks().to_numpy() for x in ("key", "id", "n"))
+            all_ = np.stack([t[f"f{k}"].combine_chunks().to_numpy().view(np.uint64) for k in range(WORDS)], 1)
+            for lo, hi in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+                if hi - lo < 2:
+                    continue
+                fps, n, key = all_[lo:hi], n_[lo:hi], int(keys[lo])
+                near = lambda x, y, fps=fps, n=n, d=most[key < 0]: (np.bitwise_count(fps[x] ^ fps[y]).sum(-1, dtype=np.int64) <= d) & (np.minimum(n[x], n[y]) >= similarity * np.maximum(n[x], n[y]) - 1e-9)
+                label = np.arange(hi - lo)
+                for at in [np.zeros(0, np.int64)] if key < 0 else picks[key >> 40]:
+                    label = _near_in_table(_value(fps, at), label, near)
+                yield _stars(ids_[lo:hi], label)
+
+    return run
+
+
+def _near_in_table(value: np.ndarray, label: np.ndarray, near) -> np.ndarray:
+    """Labels after all rows of equal value that are near are joined; rows of one class already are not compared."""
+    order = np.argsort(value, kind="stable")
+    sizes = np.diff(np.concatenate([[0], np.flatnonzero(np.diff(value[order])) + 1, [len(value)]]))
+    start = np.cumsum(sizes) - sizes
+    large = np.repeat(sizes > 24, sizes)
+    small, v = order[~large], value[order[~large]]
+    for lag in range(1, 24):
+        same = np.flatnonzero(v[lag:] == v[:-lag]) if lag < len(v) else []
+        if not len(same):
+            break
+        x, y = small[same], small[same + lag]
+        open_ = label[x] != label[y]
+        x, y = x[open_], y[open_]
+        found = near(x, y)
+        label = _join(label, x[found], y[found])
+    for k in np.flatnonzero(sizes > 24).tolist():
+        rest = order[start[k] : start[k] + sizes[k]]
+        while len(rest) > 1:  # a search that leaves each row once
+            frontier, rest = [rest[0]], rest[1:]
+            while frontier and len(rest):
+                x = frontier.pop()
+                found = near(x, rest)
+                if found.any():
+                    label = _join(label, np.full(found.sum(), x), rest[found])
+                    frontier += rest[found].tolist()
+                    rest = rest[~found]
+    return label
+
+
+def _verified(similarity: float):
+    """(a, b) that span the components of the sets of a group whose exact similarity is enough: shingles in common are counted by posting lists."""
+
+    def run(batches):
+        for t, cut in grouped(batches, ["key", "i", "j"], 2 * SETS):
+            ids, grams = t["id"].combine_chunks().to_numpy(), t["grams"].combine_chunks()
+            offsets, values = grams.offsets.to_numpy().astype(np.int64), grams.values.to_numpy()
+            for lo, hi in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+                if hi - lo < 2:
+                    continue
+                to = offsets[lo : hi + 1] - offsets[lo]
+                h, n = values[offsets[lo] : offsets[hi]], np.diff(to)
+                order = np.argsort(h, kind="stable")
+                by, owner = h[order], np.repeat(np.arange(hi - lo), n)[order]
+                first = np.searchsorted(by, h)
+                place = np.empty(len(h), np.int64)
+                place[order] = np.arange(len(h))
+                before = place - first  # sets earlier in the group that have the shingle
+                label = np.arange(hi - lo)
+                for x in range(1, hi - lo):
+                    many = before[to[x] : to[x + 1]]
+                    at = np.repeat(first[to[x] : to[x + 1]] - np.cumsum(many) + many, many) + np.arange(many.sum())
+                    both = np.bincount(owner[at], minlength=x)
+                    found = np.flatnonzero((both >= similarity * (n[x] + n[:x] - both) - 1e-9) & (label[:x] != label[x]))
+                    if len(found):
+                        label = _join(label, np.full(len(found), x), found)
+                yield _stars(ids[lo:hi], label)
+
+    return run
 
 
-def similar(df: DataFrame, shingle: int = 5, similarity: float = 0.8, bands: int = 40, rows: int = 5) -> DataFrame:
+def similar(df: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """doc_id and component_id over links of that similarity (Jaccard, of sets of shingles) or more.
 
-    MinHash only proposes pairs: `bands` keys of `rows` minima each, of which sets of similarity 0.8 share one but
-    with probability 2e-7. Every link is verified on the whole sets. First sets are compared with the least of a few
-    of their keys, then of ever more, but for those already in one component with it; then all pairs that share a key and
-    are not in one component yet. So a large group of copies, or of near copies, is joined by a few pairs of each.
+    SimHash proposes: sets whose fingerprints of 64 * WORDS bits agree in the sampled bits of a key and of a table within it, and differ
+    in no more bits than sets of that similarity do, are joined to loose groups. Two sets of that similarity share no table with
+    a probability of about 1e-6; sets of few shingles get exact keys besides. Within a loose group all sets are compared by
+    their shingles, and only links of that similarity count. Edges that span a group are all that a task returns, so no
+    row is made for a pair, and a large group of near copies is cut into chunks of SETS that are compared two by two.
     Texts without a word are equal; rows are treated as in near_duplicates.
     """
-    base = checkpoint(_signatures(df, shingle, bands, rows))
-    sets = checkpoint(base.groupBy("id", "n").agg(F.min("doc_id").alias("least"), F.first("bands").alias("bands")))
-    keyed = sets.select("id", "n", F.posexplode("bands").alias("band", "value")).select(F.xxhash64("band", "value").alias("key"), "band", "id", "n")
-    many = checkpoint(keyed.groupBy("key").agg(F.min(F.struct("id", "n")).alias("first"), F.count("*").alias("c")).where("c > 1"))
-    shared = checkpoint(keyed.join(sized(many), "key"))
-    alike = lambda x, y: F.least(x, y) >= similarity * F.greatest(x, y) - 1e-9
-    stars = shared.where(F.col("id") != F.col("first.id")).where(alike(F.col("n"), F.col("first.n"))).select("band", F.col("first.id").alias("a"), F.col("id").alias("b"))
-    roots = tried = links = None
-    for low, high in ((0, 1), (1, 6), (6, bands)):
-        pairs = stars.where((F.col("band") >= low) & (F.col("band") < high)).select("a", "b").distinct()
-        if roots is not None:
-            known = sized(roots)
-            pairs = pairs.join(known.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a", "left").join(known.select(F.col("node").alias("b"), F.col("root").alias("rb")), "b", "left")
-            pairs = pairs.where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b").join(tried, ["a", "b"], "left_anti")
-        pairs = checkpoint(pairs)
-        found = _verified(pairs, df, shingle, similarity)
-        tried, links = (pairs, found) if tried is None else (tried.unionByName(pairs), links.unionByName(found))
-        roots = checkpoint(components(links))
-    shared = shared.select("key", "id", "n", "c")
-    open_ = checkpoint(_open(shared, roots).withColumn("chunks", F.ceil(F.col("c") / CHUNK).cast("int")))
-    left = open_.select("key", F.col("id").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"), F.pmod("id", F.col("chunks").cast("long")).cast("int").alias("chunk"))
-    right = open_.select("key", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"))
-    rest = left.join(right, ["key", "chunk"]).where((F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & alike(F.col("na"), F.col("nb"))).select("a", "b").distinct()
-    rest = checkpoint(rest.join(tried, ["a", "b"], "left_anti"))
-    if not rest.isEmpty():
-        roots = components(links.unionByName(_verified(rest, df, shingle, similarity)))
-    return base.join(_smallest(sets, roots), "id").select("doc_id", "component_id")
+    names = [f"f{k}" for k in range(WORDS)]
+    base = checkpoint(_signatures(df, shingle, similarity))
+    sets = checkpoint(base.groupBy("id", "n", *names).agg(F.min("doc_id").alias("least"), F.first("prefix").alias("prefix")))
+    bits = key_bits(sets.count())
+    groups = key_groups(bits, similarity)
+    keys = _chunked(similarity_keys(sets, bits, groups), F.xxhash64("id"), HELD_MOST)
+    loose = components(keys.mapInArrow(_proposed(similarity, bits, groups), "a long, b long"))
+    members = checkpoint(loose.select(F.col("node").alias("id"), F.col("root").alias("key")).unionByName(loose.select(F.col("root").alias("id"), F.col("root").alias("key")).distinct()))
+    grams = checkpoint(_grams(df, shingle).join(sized(members), "id").dropDuplicates(["id"]))
+    links = _chunked(grams, F.xxhash64("id"), SETS).mapInArrow(_verified(similarity), "a long, b long")
+    return base.join(_smallest(sets, components(links)), "id").select("doc_id", "component_id")

@@ -626,6 +626,44 @@ def near_groups(rows):
     return groups.values()
 
 
+def near_copies(rng, groups):
+    """Per (copies, words, changed): texts made of one by changing so many words; so pairs lie on both sides of 0.8, some of them very short."""
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    out = []
+    for copies, words, changed in groups:
+        a = [word() for _ in range(words)]
+        for _ in range(copies):
+            b = list(a)
+            for i in rng.sample(range(words), changed):
+                b[i] = word()
+            out.append(" ".join(b[: words - rng.randrange(2)]))
+    return list(enumerate(out))
+
+
+def test_similar_sets_are_proposed_by_simhash(spark):
+    """The bits are those that over half the distinct shingles' XXH64 set, and sets at 0.8 share a key and a table in it."""
+    rows = near_copies(random.Random(21), [(2, 200, 4)] * 60)
+    got = {r.doc_id: r for r in simhash._signatures(table(spark, rows), 5, 0.8).collect()}
+    for k, t in rows[:10]:
+        w = t.split()
+        h = [xxhash.xxh64_intdigest(x, 42) for x in {" ".join(w[i : i + 5]) for i in range(len(w) - 4)}]
+        assert got[k].n == len(h) and got[k].f0 & ((1 << 64) - 1) == sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+    bits, groups = 4, simhash.key_groups(4, 0.8)
+    fps = {k: np.array([[getattr(r, f"f{i}") for i in range(simhash.WORDS)]], np.int64).view(np.uint64) for k, r in got.items()}
+    same = lambda x, y, at: simhash._value(fps[x], at) == simhash._value(fps[y], at)
+    assert all(any(same(k, k + 1, at) and any(same(k, k + 1, x) for x in tables) for at, tables in simhash._sampled(bits, groups)) for k in range(0, len(rows), 2))
+
+
+def test_similar_in_chunks_equals_brute_force(spark, monkeypatch):
+    """Keys and groups cut into chunks lose no link, nor do sets of one to a few shingles."""
+    monkeypatch.setattr(simhash, "HELD", 8)
+    monkeypatch.setattr(simhash, "HELD_MOST", 16)
+    monkeypatch.setattr(simhash, "SETS", 8)
+    rows = near_copies(random.Random(22), [(60, 120, 2), (60, 150, 3), *[(3, n, n > 30) for n in range(4, 40)]])
+    want = Counter((k, min(group)[0]) for group in near_groups(rows) for k, _ in group)
+    assert Counter(map(tuple, simhash.similar(table(spark, rows)).collect())) == want and 1 < len({c for _, c in want}) < len(rows)
+
+
 def test_pipeline_stages_on_hard_rows(spark):
     import corpus_pipeline
 
