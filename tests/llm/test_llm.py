@@ -664,6 +664,21 @@ def test_similar_in_chunks_equals_brute_force(spark, monkeypatch):
     assert Counter(map(tuple, simhash.similar(table(spark, rows)).collect())) == want and 1 < len({c for _, c in want}) < len(rows)
 
 
+def test_near_duplicates_run_few_jobs(spark):
+    """A job's stages, plans and broadcasts stay in the driver's memory for long: their number must not follow the sizes of groups."""
+    import corpus_pipeline
+
+    docs = table(spark, near_copies(random.Random(23), [(300, 200, 4), *[(2, 100, 2)] * 50])).cache()
+    docs.count()
+    spark.sparkContext.setJobGroup("near", "near duplicates")
+    try:
+        corpus_pipeline.near_duplicates(spark, docs, SF).count()
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("near"))
+    assert 0 < jobs <= 120, jobs
+
+
 def test_pipeline_stages_on_hard_rows(spark):
     import corpus_pipeline
 
