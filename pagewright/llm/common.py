@@ -30,9 +30,18 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the shared folder."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Cut the lineage with a reliable checkpoint in the shared folder.
+
+    A checkpoint keeps the size that Spark estimated for its plan, for a join the product of both sides: in a loop of joins
+    that number has twice the digits after each round, until the driver's heap is full of it. Sizes beyond a long are unknown ones.
+    """
+    spark = df.sparkSession
+    shared_dir(spark)
+    out = df.checkpoint(eager=True)
+    plan = out._jdf.queryExecution().logical()
+    if plan.stats().sizeInBytes() < 1 << 63:
+        return out
+    return DataFrame(spark._jsparkSession.internalCreateDataFrame(plan.rdd(), out._jdf.schema(), False), spark)
 
 
 def release(*frames: DataFrame) -> None:

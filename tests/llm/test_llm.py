@@ -67,6 +67,34 @@ def test_components(spark):
     assert got == {x: find(x) for x in parent if find(x) != x}
 
 
+def test_components_of_a_long_chain_keep_estimates_small(spark, monkeypatch):
+    """Each of the joins doubled the digits of the size that Spark estimates for its result, until the driver had no heap left."""
+    sizes, plain = [], common.checkpoint
+
+    def noted(df):
+        out = plain(df)
+        sizes.append(out._jdf.queryExecution().logical().stats().sizeInBytes())
+        return out
+
+    monkeypatch.setattr(common, "checkpoint", noted)
+    ids = random.Random(3).sample(range(300), 300)
+    got = {r.node: r.root for r in common.components(spark.createDataFrame(list(zip(ids, ids[1:])), "a long, b long")).collect()}
+    assert got == dict.fromkeys(range(1, 300), 0)
+    assert len(sizes) > 10 and max(sizes) < 1 << 63
+
+
+def test_checkpoint_of_an_unknown_size_keeps_rows_and_its_file(spark):
+    from pyspark.sql import functions as F
+
+    a = common.checkpoint(spark.range(20).selectExpr("id", "if(id % 3 = 0, null, struct(id as x, 'é' as y)) as v"))
+    b = common.checkpoint(a.join(a.select("id", F.col("v").alias("w")), "id", "left").join(a.select("id", F.array("v").alias("u")), "id"))
+    assert b.schema.simpleString() == "struct<id:bigint,v:struct<x:bigint,y:string>,w:struct<x:bigint,y:string>,u:array<struct<x:bigint,y:string>>>"
+    want = [None if k % 3 == 0 else (k, "é") for k in range(20)]
+    assert [(r.id, r.v, r.w, r.u) for r in b.orderBy("id").collect()] == [(k, x, x, [x]) for k, x in enumerate(want)]
+    assert b._jdf.queryExecution().logical().rdd().getCheckpointFile().isDefined()
+    common.release(b)
+
+
 def slow_fingerprint(text, n):
     words = re.findall(rb"[^\x20\x09-\x0d]+", (text or "").encode().lower())
     grams = [b" ".join(words[i : i + n]) for i in range(len(words) - n + 1)] or ([b" ".join(words)] if words else [])
