@@ -9,6 +9,7 @@ from pyspark.sql.functions import udtf
 
 from ..catalog import portable, query, relation, table
 from ..functions import text as T
+from .lexis import unknown
 from .rules import cases
 
 # --- orders: rows are sorted by ranges, in as many tasks as there are; none holds all ---------------------------------------
@@ -102,8 +103,8 @@ def k5(spark, sf_dir):
 def a1(spark, sf_dir):
     """Words that no lexicon has, of each document by case-insensitive form: as first spelled, where, how often."""
     words = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.regexp_extract_all("text", F.lit(r"([\p{L}]+)"), F.lit(1))).alias("pos", "w")).withColumn("word", F.lower("w"))
-    missing = words.join(table(spark, sf_dir, "lexicon").select("word").distinct(), "word", "left_anti")
-    return missing.groupBy("doc_id", "word").agg(F.min_by("w", "pos").alias("spelled"), (F.min("pos") + 1).cast("long").alias("first_pos"), F.count("*").alias("n"))
+    missing = unknown(spark, sf_dir, words, F.col("langs").isNotNull())
+    return missing.groupBy("doc_id", F.lower("w").alias("word")).agg(F.min_by("w", "pos").alias("spelled"), (F.min("pos") + 1).cast("long").alias("first_pos"), F.count("*").alias("n"))
 
 
 _SCRIPT = r"<script>([^<]*)"
