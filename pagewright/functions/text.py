@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -12,12 +15,14 @@ HYPHENS = "\u2010\u2011\u2012\u2013\u2043\u02d7\u2212\u2796\ufe58\u06d4\u2cbb\u2
 # The classifier's limits and literals.
 ENTROPY, ENTROPY_LENGTH, HEX_LENGTH, DIGITS_LENGTH, SHORTEST = 3.8, 8, 16, 8, 3
 CONFIG_LITERALS = ("true", "false", "null", "yes", "no", "on", "off")
+# Shapes by what a value must contain, one of several texts, and a pattern where that does not decide; a pattern is slow where nothing matches.
 SHAPES = (
-    ("url", r"^[a-zA-Z][a-zA-Z0-9+.\-]*:"),
-    ("template", r"\{\{.*?\}\}"),
-    ("query", r"[?&][A-Za-z0-9_.\-]+="),
-    ("structured", r'[{}\[\]]|":\s'),
-    ("path", r"^/|[^/\s]+/[^/\s]+/"),
+    ("url", (":",), r"^[a-zA-Z][a-zA-Z0-9+.\-]*:"),
+    ("template", ("{{",), r"\{\{.*?\}\}"),
+    ("query", ("=",), r"[?&][A-Za-z0-9_.\-]+="),
+    ("structured", ("{", "}", "[", "]"), None),
+    ("structured", ('":',), r'":\s'),
+    ("path", ("/",), r"^/|[^/\s]/[^/\s]+/"),
 )
 
 
@@ -33,8 +38,9 @@ def classify(value: Column) -> Column:
     """Whether a value is checked as prose (`check`), or why it is skipped; the first rule that fits counts."""
     v = F.trim(value)
     out = F.when(v == "", "too_short")
-    for name, pattern in SHAPES:
-        out = out.when(v.rlike(pattern), name)
+    for name, needed, pattern in SHAPES:
+        has = reduce(or_, [F.contains(v, F.lit(x)) for x in needed])
+        out = out.when(has & v.rlike(pattern) if pattern else has, name)
     return (
         out.when(F.contains(v, F.lit(" ")), "check")
         .when(F.lower(v).isin(*CONFIG_LITERALS), "config_literal")
