@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..catalog import FLAGSHIP, native, portable, query, relation, table
 from ..functions.text import INVISIBLE
+from .lexis import RARE, vocabulary
 
 _IN = f"[{INVISIBLE}]"
 _IN_META = f"[{INVISIBLE}\t\r\n]"
@@ -101,6 +102,19 @@ def all_findings(spark, sf_dir):
 
 
 relation("q19", "select t.doc_id as page_id, 'POTENTIAL_TRANSLATION' as issue_type, l.lang as detail, t.lang as context from {tokens} t join {lexicon} l on l.word = t.word and l.lang <> t.lang left join {lexicon} own on own.word = t.word and own.lang = t.lang where own.word is null group by t.doc_id, l.lang, t.lang having count(*) >= 5")
+
+
+@native("q19")
+def q19(spark, sf_dir):
+    """A text's words that are rare in its own language and in another's lexicon, from the languages' vocabularies."""
+    words = vocabulary(spark, sf_dir).where("lang is not null").groupBy("word")
+    rare = F.col("n") < RARE
+    met = words.agg(F.collect_list(F.when(rare, F.struct("lang", "ids"))).alias("rare"), F.collect_list(F.when(~rare, F.col("lang"))).alias("others")).where((F.size("rare") > 0) & (F.size("others") > 0))
+    rows = met.select("others", F.inline("rare")).select("lang", "ids", F.explode("others").alias("other")).select(F.explode("ids").alias("doc_id"), "lang", "other")
+    found = rows.groupBy("doc_id", "lang", "other").agg(F.count("*").alias("n")).where("n >= 5")
+    return found.select(F.col("doc_id").alias("page_id"), F.lit("POTENTIAL_TRANSLATION").alias("issue_type"), F.col("other").alias("detail"), F.col("lang").alias("context"))
+
+
 relation("all_findings", " union all ".join(f"select page_id, pos, issue_type, detail, context from {{{q}}}" for q in _ALL))
 # Fixed values of the sample suppression rules: type, text, page pattern, place in the order.
 relation("rules", "select 1 as idx, 'UNWANTED_PATTERN' as type, '$$$' as value, '%/fr/%' as page union all select 2, 'UNWANTED_PATTERN', '%', '%' union all select 3, 'BARE_TEXT_IN_CONTAINER', 'nothing like it', '%' union all select 4, 'BARE_TEXT_IN_CONTAINER', 'the', '%/en/%'")
