@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..catalog import portable, query, relation, table
+from .bloat import reach, referred
 
 _NORM = "rx_replace(rx_replace(trim(url), '[?#].*$', ''), '/+$', '')"
 relation("parsed_lines", "select pos, trim(split_part(line, '|', 1)) as c1, trim(split_part(line, '|', 2)) as c2, trim(split_part(line, '|', 3)) as c3, trim(split_part(line, '|', 4)) as c4, trim(split_part(line, '|', 5)) as c5, trim(split_part(line, '|', 6)) as c6, array_length(cut(rx_replace(line, '[|]', '~'), '~')) as n from {fetch_lines}")
@@ -26,8 +27,7 @@ portable("j7_canonical_missing", "select c.page_id, c.target from {canonicals} c
 portable("j8_redirect_chain", "select a.url, a.target as hop1, b.target as hop2, case when c.target in (a.url, b.url) then null else c.target end as hop3 from {redirects} a left join {redirects} b on b.url = a.target and b.url <> a.url left join {redirects} c on c.url = b.target and c.url not in (a.url, b.url)")
 portable("j9_boilerplate_group", "select page_id, grp from (select p.page_id, g.grp, row_number() over (partition by p.page_id order by g.exact desc, length(g.prefix) desc) as r from {pages} p join (select 'en' as grp, 'https://' as prefix, 0 as exact union all select 'm', 'https://m.', 0 union all select 'http', 'http://', 0 union all select 'first', 'https://m.ththth.example.net/en/25', 1) g on case when g.exact = 1 then split_part(p.url, '#', 1) = g.prefix else p.url like concat(g.prefix, '%') end) x where r = 1")
 portable("j10_language_override", "select page_id, langs from (select p.page_id, g.langs, row_number() over (partition by p.page_id order by length(g.prefix) desc) as r from (select page_id, regexp_extract(url, '^[A-Za-z]+://[^/?#]*([^?#]*)', 1) as path from {pages}) p join (select '/' as prefix, 'en' as langs union all select '/de/', 'de,en' union all select '/fr/8', 'fr') g on p.path like concat(g.prefix, '%')) x where r = 1")
-portable("j14_asset_sizes", "select r.page_id, cast(sum(a.bytes) as bigint) as bytes, count(*) as refs from {page_refs} r left join {assets} a on a.asset_id = r.asset_id group by r.page_id")
-portable("j15_script_reach", "select a.url, count(distinct r.page_id) as pages from {assets} a join {page_refs} r on r.asset_id = a.asset_id where a.ext = '.js' group by a.url")
+query("j15_script_reach", "select a.url, count(distinct r.page_id) as pages from {assets} a join {page_refs} r on r.asset_id = a.asset_id where a.ext = '.js' group by a.url")(reach)
 portable("q22_redirects", "select url, hop1 as target from (select a.url, a.target as hop1, b.target as hop2 from {redirects} a join {redirects} b on b.url = a.target) x where hop2 is not null")
 portable("q23_not_found", "select distinct replace(url, ':443', '') as url, '404' as issue_type from {fetch_log} where lower(concat(url, status, message)) like '%notfound%'")
 portable("q20_canonical", "select c.page_id, case when not lower(regexp_extract(c.target, '^[A-Za-z]+://([^/?#]*)', 1)) like '%.example.%' then 'CANONICAL_EXTERNAL' when p.url is null then 'CANONICAL_404' when d.target is not null and d.target <> c.target then 'CANONICAL_CHAIN' else 'ok' end as verdict from {canonicals} c left join {pages} p on lower(p.url) = lower(c.target) left join {canonicals} d on lower(d.url) = lower(c.target)")
@@ -36,6 +36,12 @@ portable("a13_extensions", r"select ext, count(*) as files, cast(sum(bytes) as b
 portable("w8_throughput", "select pos, per_step from (select pos, (pos - lag(pos, 3) over (partition by source order by pos)) / 3.0e0 as per_step from {fetch_log}) x where per_step is not null")
 
 
+@query("j14_asset_sizes", "select r.page_id, cast(sum(a.bytes) as bigint) as bytes, count(*) as refs from {page_refs} r left join {assets} a on a.asset_id = r.asset_id group by r.page_id")
+def j14(spark, sf_dir):
+    """A page's references, known or not, and the bytes of those that are known."""
+    return referred(spark, sf_dir, how="left").groupBy("page_id").agg(F.sum("bytes").alias("bytes"), F.count("*").alias("refs"))
+
+
 @query("q24_self_links", 'select distinct a.page_id, a.url, \'SELFLINK\' as issue_type from {anchors} a where regexp_extract(a.href, \'^([A-Za-z]+://[^/?#]*[^?#]*)\', 1) = regexp_extract(a.url, \'^([A-Za-z]+://[^/?#]*[^?#]*)\', 1) and not contains(a.href, \'#\')')
 def q24(spark, sf_dir):
     """Anchors that lead to their own page: same origin and path, no fragment."""
