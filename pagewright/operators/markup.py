@@ -11,6 +11,7 @@ import unicodedata
 from html.parser import HTMLParser
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -69,14 +70,25 @@ def flatten(html: str | None) -> list[dict]:
     return parser.nodes
 
 
+def slices(batches, column: int, rows: int = 64, size: int = 1 << 20):
+    """Parts of Arrow batches: some rows, with about a megabyte of a column's texts, or one longer text. What Python makes of a part is all that it holds."""
+    for b in batches:
+        at = held = 0
+        for k, n in enumerate(pc.binary_length(b.column(column)).to_pylist()):
+            if k > at and (k - at == rows or held + (n or 0) > size):
+                yield b.slice(at, k - at)
+                at, held = k, 0
+            held += n or 0
+        if at < b.num_rows:
+            yield b.slice(at)
+
+
 def nodes(pages: DataFrame) -> DataFrame:
     """page_id, url and one row a node."""
 
     def run(batches):
-        for b in batches:
-            for at in range(0, b.num_rows, 64):
-                part = b.slice(at, 64)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([flatten(x) for x in part.column(2).to_pylist()], pa.list_(_NODE))], ["page_id", "url", "nodes"])
+        for part in slices(batches, 2):
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([flatten(x) for x in part.column(2).to_pylist()], pa.list_(_NODE))], ["page_id", "url", "nodes"])
 
     spread = pages.select("page_id", "url", "html").repartition("page_id")
     return spread.mapInArrow(run, f"page_id long, url string, nodes {NODES}").select("page_id", "url", F.explode("nodes").alias("n")).select("page_id", "url", "n.*")
@@ -103,8 +115,8 @@ def h3(spark, sf_dir):
 
     def run(batches):
         kind = pa.list_(pa.struct([("block", pa.string()), ("text", pa.string())]))
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([[{"block": k, "text": t} for k, t in runs(x)] for x in b.column(1).to_pylist()], kind)], ["page_id", "runs"])
+        for part in slices(batches, 1):
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([[{"block": k, "text": t} for k, t in runs(x)] for x in part.column(1).to_pylist()], kind)], ["page_id", "runs"])
 
     pages = table(spark, sf_dir, "pages_x").select("page_id", "html").repartition("page_id")
     return pages.mapInArrow(run, "page_id long, runs array<struct<block: string, text: string>>").select("page_id", F.posexplode("runs").alias("pos", "r")).select("page_id", "pos", "r.*")
@@ -154,10 +166,8 @@ def _detect(df: DataFrame, detector, kind: str) -> DataFrame:
     """doc_id and one row for each thing that the detector says of a text."""
 
     def run(batches):
-        for b in batches:
-            for at in range(0, b.num_rows, 512):
-                part = b.slice(at, 512)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([detector(x or "") for x in part.column(1).to_pylist()], pa.list_(pa.string()))], ["doc_id", "found"])
+        for part in slices(batches, 1, 512):
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([detector(x or "") for x in part.column(1).to_pylist()], pa.list_(pa.string()))], ["doc_id", "found"])
 
     found = df.select("doc_id", "text").mapInArrow(run, "doc_id long, found array<string>")
     return found.select("doc_id", F.lit(kind).alias("issue_type"), F.explode("found").alias("detail"))
